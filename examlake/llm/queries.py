@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .shared import table
+from .suffixes import repeated_strings
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,10 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_superminhash": op10_superminhash}
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the strings of 100 bytes that occur earlier."""
+    return repeated_strings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}

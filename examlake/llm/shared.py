@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
+_BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The white space of the word definition: space and 9 to 13.
@@ -95,22 +95,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, n.bit_length())
-    if size not in _powers:
-        _powers.clear()
-        inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        up, down = np.full(size, _BASE, U64), np.full(size, inverse, U64)
+def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse; the longest tables asked for so far are kept, one pair a base."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = 1 << max(16, n.bit_length())
+        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
         up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+        _powers[base] = np.cumprod(up), np.cumprod(down)
+    return _powers[base]
 
 
 class Rolling:
     """Hashes of any range of a block of bytes, from prefix sums of a polynomial in wrapping 64-bit arithmetic."""
 
-    def __init__(self, data: np.ndarray):
-        up, self._down = _power_tables(len(data) + 1)
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        up, self._down = _power_tables(base, len(data) + 1)
         self._sums = np.zeros(len(data) + 1, U64)
         terms = data.astype(U64)
         terms += U64(1)
