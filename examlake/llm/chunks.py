@@ -42,8 +42,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text; null: empty) as chunks: chunk, ids, sizes (packed 64-bit), payload (zstd); to be written before it is used."""
-    return docs.select("doc_id", text_column()).mapInArrow(_pack, "chunk long, ids binary, sizes binary, payload binary")
+    """docs (doc_id, text or bytes; null text: empty) as chunks: chunk, ids, sizes (packed 64-bit), payload (zstd); to be written before it is used."""
+    text = "text" if dict(docs.dtypes)["text"] == "binary" else text_column()
+    return docs.select("doc_id", text).mapInArrow(_pack, "chunk long, ids binary, sizes binary, payload binary")
 
 
 def unpack(ids: bytes, sizes: bytes, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

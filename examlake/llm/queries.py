@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw import scored
 from .minhash import near_duplicates
 from .shared import table
 from .suffixes import repeated_strings
@@ -19,5 +20,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under context-tree weighting and under token frequencies."""
+    return scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
