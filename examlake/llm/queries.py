@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import scored
 from .minhash import near_duplicates
+from .packing import packed_sequences
 from .shared import table
 from .suffixes import repeated_strings
 
@@ -25,5 +26,10 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of at most 1024 tokens over all documents, each holding every source in proportion."""
+    return packed_sequences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
