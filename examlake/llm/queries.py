@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .attribution import section_tokens
+from .audio import audio_features, stored_media
 from .ctw import scored
 from .minhash import near_duplicates
 from .packing import packed_sequences
@@ -31,5 +33,15 @@ def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of all documents, from one encoding of each."""
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of all documents stored as audio."""
+    return audio_features(stored_media(table(spark, sf_dir, "documents")), tensors=False)
+
+
+QUERIES = {"op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
