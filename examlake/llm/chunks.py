@@ -1,4 +1,4 @@
-"""Documents packed into chunks of a few megabytes: the unit that operators on bytes read, ask about and get answers for.
+"""Documents packed into chunks of two megabytes: the unit that operators on bytes read, ask about and get answers for.
 
 A chunk holds whole documents and is written once, so its number and contents stay the same however often a later step reads it.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .shared import as_bytes, blocks, text_column
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
