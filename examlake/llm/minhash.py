@@ -21,8 +21,9 @@ from .components import components
 from .shared import U64, Rolling, as_bytes, blocks, mix, text_column, words, written
 
 SHINGLE_WORDS = 5
-#: Registers = BANDS * ROWS. A pair at similarity 0.75 shares no band with probability (1 - 0.75**3)**42, about 1e-10.
-BANDS, ROWS = 42, 3
+#: Registers = BANDS * ROWS. A pair at similarity 0.75 shares no band with probability (1 - 0.75**6)**84, about 7e-8; documents that share
+#: a common passage only, at 0.3, share one with probability 0.06.
+BANDS, ROWS = 84, 6
 REGISTERS = BANDS * ROWS
 #: Share of the union that two sets must have in common, in hundredths.
 SIMILARITY = 75
@@ -68,12 +69,12 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
             place = at
         else:
             if order is None:
-                order = np.tile(np.arange(registers, dtype=np.uint8), (len(element), 1))
+                order = np.tile(np.arange(registers, dtype=np.uint16), (len(element), 1))
                 order[np.arange(len(element)), swapped] = 0  # noqa: F821
             each = np.arange(len(element))
             place = order[each, at]
             order[each, at] = order[:, level]
-        np.minimum.at(values, doc * registers + place, U64(level << 56) | (draw >> U64(8)))
+        np.minimum.at(values, doc * registers + place, (U64(level) << U64(54)) | (draw >> U64(10)))
         unfinished = (values.reshape(n, registers) == none).any(axis=1) & (sizes > 0)
         keep = unfinished[doc]
         if not keep.any():
@@ -88,7 +89,7 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
-        for i, j in blocks(offsets, 1 << 20):
+        for i, j in blocks(offsets, 1 << 18):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             rows = super_minhash(sets).reshape(j - i, BANDS, ROWS)
             keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (j - i, BANDS)).copy()

@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .packing import packed_sequences
 from .shared import table
 from .suffixes import repeated_strings
+from .warc import read_archives, write_archives
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +44,11 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(stored_media(table(spark, sf_dir, "documents")), tensors=False)
 
 
-QUERIES = {"op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written as archives and read back."""
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
