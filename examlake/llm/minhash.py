@@ -21,12 +21,15 @@ from .components import components
 from .shared import U64, Rolling, as_bytes, blocks, mix, text_column, words, written
 
 SHINGLE_WORDS = 5
-#: Registers = BANDS * ROWS. A pair at similarity 0.75 shares no band with probability (1 - 0.75**6)**84, about 7e-8; documents that share
-#: a common passage only, at 0.3, share one with probability 0.06.
-BANDS, ROWS = 84, 6
-REGISTERS = BANDS * ROWS
+#: Registers of a signature, and how many of them make a band. Each register is in one band for each stride: that of stride s holds the
+#: registers at s, 2 s, ... modulo REGISTERS, so few registers give many selective bands. A pair at similarity 0.75 shares no band with
+#: probability 5e-6; documents that share a common passage only, at 0.3, share one with probability 0.06.
+REGISTERS, ROWS = 168, 6
+STRIDES = (1, 5, 11)
+BANDS = len(STRIDES) * REGISTERS // ROWS
 #: Share of the union that two sets must have in common, in hundredths.
 SIMILARITY = 75
+_SIZES = f"100 * least(n, na) >= {SIMILARITY} * greatest(n, na)"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -86,15 +89,22 @@ def super_minhash(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndar
     return values.reshape(n, registers)
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """(documents, BANDS) keys of the bands of signatures."""
+    picked = np.concatenate([np.arange(REGISTERS) * stride % REGISTERS for stride in STRIDES])
+    rows = registers[:, picked].reshape(len(registers), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(registers), BANDS)).copy()
+    for r in range(ROWS):
+        keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, r])
+    return keys
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
         for i, j in blocks(offsets, 1 << 18):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            rows = super_minhash(sets).reshape(j - i, BANDS, ROWS)
-            keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (j - i, BANDS)).copy()
-            for r in range(ROWS):
-                keys = mix(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, r])
+            keys = band_keys(super_minhash(sets))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
@@ -130,32 +140,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document of docs (doc_id, text; other columns don't matter).
 
     Documents with equal shingle sets form a class, whose smallest doc_id stands for it. Representatives that share a band are
-    candidates. Within a band's bucket, only pairs with a leader (the first member; then 4, 16, ... more) are verified, each on full
-    sets; a bucket is done when its members lie in one component or each of them has been a leader. So no group is expanded into all
-    pairs unless its members really are unlike each other, and no link between components is lost. Null, empty or blank texts have an
-    empty set, link with nothing and stay. Repeated doc_ids give repeated rows. Empty table: no rows.
+    candidates; all links are verified on full sets. At first each bucket's members are compared with one leader alone, the member that
+    shares most bands with others: in a group of copies, what they were copied from. Buckets that then hold several components take
+    8, 64, ... further leaders, against members of other components, until one component is left or each member has been a leader. A pair
+    is taken up in the first band that it shares only. So a group of alike documents costs a comparison a member, and no link between
+    components is lost. Null, empty or blank texts have an empty set, link with nothing and stay. Repeated doc_ids give repeated rows.
+    Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
     known = written(signatures(docs), "signatures")
     classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes, "classes")
     rows = classes.select("doc", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    members = written(rows.join(shared, "band").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc"))), "members")
-    links, state, done, more = None, None, 0, 1
+    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    inside = written(rows.join(shared, "band"), "buckets")
+    known_by = inside.groupBy("doc").agg(F.sum("members").alias("mates"))
+    order = Window.partitionBy("band").orderBy(F.desc("mates"), "doc")
+    members = written(inside.drop("members").join(known_by, "doc").withColumn("rank", F.row_number().over(order)).drop("mates"), "members")
+    top = members.where("rank = 1").select("band", F.col("doc").alias("a"), F.col("n").alias("na"))
+    pairs = members.where("rank > 1").join(top, "band").where(_SIZES).select("a", F.col("doc").alias("b")).distinct()
+    links = written(_links(written(pairs, "pairs"), docs), "links")
+    done, more = 1, 8
     while True:
-        now = members if state is None else members.join(state.toDF("doc", "comp"), "doc", "left")
-        now = now.withColumn("comp", F.col("doc") if state is None else F.coalesce("comp", "doc"))
-        if state is not None:
-            mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most")).where(f"low < high and most > {done + 1}")
-            now = written(now.join(mixed.select("band"), "band"), "open")
-            if now.isEmpty():
-                break
-        top = now.where(f"rank > {done} and rank <= {done + more}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-        pairs = now.join(top, "band").where("rank > ra and comp <> ca and 100 * least(n, na) >= 75 * greatest(n, na)").select("a", F.col("doc").alias("b")).distinct()
-        found = written(_links(written(pairs, "pairs"), docs), "links")
-        links = found if links is None else links.unionByName(found)
         state = components(links)
-        done, more = done + more, more * 4
-    group = classes.select("digest", F.col("doc")).join(state.toDF("doc", "comp"), "doc", "left").select("digest", F.coalesce("comp", "doc").alias("comp"))
+        now = members.join(state.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most")).where(f"low < high and most > {done + 1}")
+        now = written(now.join(mixed.select("band"), "band").join(classes.select("doc", "bands"), "doc"), "open")
+        if now.isEmpty():
+            break
+        top = now.where(f"rank > {done} and rank <= {done + more}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"), F.col("bands").alias("all_a"))
+        first = F.array_min(F.array_intersect("bands", "all_a")) == F.col("band")
+        pairs = now.join(top, "band").where(f"rank > ra and comp <> ca and {_SIZES}").where(first).select("a", F.col("doc").alias("b"))
+        links = links.unionByName(written(_links(written(pairs, "pairs"), docs), "links"))
+        done, more = done + more, more * 8
+    group = classes.select("digest", "doc").join(state.toDF("doc", "comp"), "doc", "left").select("digest", F.coalesce("comp", "doc").alias("comp"))
     out = known.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
