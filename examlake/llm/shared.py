@@ -98,7 +98,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse; the longest tables asked for so far are kept, one pair a base."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(16, n.bit_length())
+        size = max(1 << 16, n + n // 8)
         up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
         up[0] = down[0] = 1
         _powers[base] = np.cumprod(up), np.cumprod(down)
