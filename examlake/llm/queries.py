@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .attribution import section_tokens
 from .audio import audio_features, stored_media
 from .ctw import scored
+from .mainhtml import extracted
 from .minhash import near_duplicates
 from .packing import packed_sequences
 from .shared import table
@@ -56,5 +57,10 @@ def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_noisy_channel": op2_noisy_channel, "op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_tree_scoring": op1_tree_scoring, "op2_noisy_channel": op2_noisy_channel, "op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
