@@ -12,10 +12,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of the edges and the smallest node that can be reached from it.
 
     Each round hooks every node to its smallest neighbour, jumps once along the pointers (path halving) and contracts the edges to the
-    roots found; a star vanishes in one round, a path halves. Loops and repeated edges don't matter; without edges, no row.
+    roots found; edges should be a written table, as they are read more than once. A star vanishes in one round, a path halves. Loops and repeated edges don't matter; without edges, no row.
     """
-    left = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
-    found = None
+    left = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b")
+    found, own = None, False
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
@@ -31,7 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         of_a, of_b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
         nearer = left.join(of_a, "a").join(of_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         last, left = left, written(nearer.where("a <> b").distinct(), "edges")
-        drop_written(last)
+        if own:
+            drop_written(last)
+        own = True
         if roots.inputFiles() != found.inputFiles():
             drop_written(roots)
     if found is None:

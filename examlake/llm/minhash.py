@@ -27,6 +27,8 @@ SHINGLE_WORDS = 5
 REGISTERS, ROWS = 168, 6
 STRIDES = (1, 5, 11)
 BANDS = len(STRIDES) * REGISTERS // ROWS
+#: Members of a bucket that all others are compared with.
+LEADERS = 3
 #: Share of the union that two sets must have in common, in hundredths.
 SIMILARITY = 75
 _SIZES = f"100 * least(n, na) >= {SIMILARITY} * greatest(n, na)"
@@ -127,25 +129,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "shingles"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sizes na and nb and the number of shingles in common, counted on full sets; written."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(docs.select("doc_id", text_column()).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("total")).where(F.col("common") * 100 >= F.col("total") * SIMILARITY).select("a", "b")
+    return written(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")), "compared")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where(f"common * 100 >= (na + nb - common) * {SIMILARITY}").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document of docs (doc_id, text; other columns don't matter).
 
     Documents with equal shingle sets form a class, whose smallest doc_id stands for it. Representatives that share a band are
-    candidates; all links are verified on full sets. At first each bucket's members are compared with one leader alone, the member that
-    shares most bands with others: in a group of copies, what they were copied from. Buckets that then hold several components take
-    8, 64, ... further leaders, against members of other components, until one component is left or each member has been a leader. A pair
-    is taken up in the first band that it shares only. So a group of alike documents costs a comparison a member, and no link between
-    components is lost. Null, empty or blank texts have an empty set, link with nothing and stay. Repeated doc_ids give repeated rows.
-    Empty table: no rows.
+    candidates; all links are verified on full sets. At first each bucket's members are compared with LEADERS members alone, those that
+    share most bands with others: in a group of copies, what they were copied from. Where a bucket's members then lie in several
+    components, those of different components are compared, but for pairs that can't be links: what both share with the first leader, and
+    what both have beside it, bounds what they share. A pair is taken up in the first band that it shares only. So a group of alike
+    documents costs a few comparisons a member, and no link between components is lost. Null, empty or blank texts have an empty set, link
+    with nothing and stay. Repeated doc_ids give repeated rows. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
     known = written(signatures(docs), "signatures")
@@ -157,22 +162,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known_by = inside.groupBy("doc").agg(F.sum("members").alias("mates"))
     order = Window.partitionBy("band").orderBy(F.desc("mates"), "doc")
     members = written(inside.drop("members").join(known_by, "doc").withColumn("rank", F.row_number().over(order)).drop("mates"), "members")
-    top = members.where("rank = 1").select("band", F.col("doc").alias("a"), F.col("n").alias("na"))
-    pairs = members.where("rank > 1").join(top, "band").where(_SIZES).select("a", F.col("doc").alias("b")).distinct()
-    links = written(_links(written(pairs, "pairs"), docs), "links")
-    done, more = 1, 8
-    while True:
-        state = components(links)
-        now = members.join(state.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most")).where(f"low < high and most > {done + 1}")
-        now = written(now.join(mixed.select("band"), "band").join(classes.select("doc", "bands"), "doc"), "open")
-        if now.isEmpty():
-            break
-        top = now.where(f"rank > {done} and rank <= {done + more}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"), F.col("bands").alias("all_a"))
-        first = F.array_min(F.array_intersect("bands", "all_a")) == F.col("band")
-        pairs = now.join(top, "band").where(f"rank > ra and comp <> ca and {_SIZES}").where(first).select("a", F.col("doc").alias("b"))
-        links = links.unionByName(written(_links(written(pairs, "pairs"), docs), "links"))
-        done, more = done + more, more * 8
+    top = members.where(f"rank <= {LEADERS}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"))
+    pairs = members.where("rank > 1").join(top, "band").where(f"rank > ra and {_SIZES}").select("a", F.col("doc").alias("b")).distinct()
+    compared = _compared(pairs, docs)
+    links = _links(compared)
+    state = components(links)
+    now = members.join(state.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most"), F.min(F.when(F.col("rank") == 1, F.struct("doc", "n"))).alias("leader")).where(f"low < high and most > {LEADERS + 1}")
+    now = now.join(mixed.select("band", F.col("leader.doc").alias("a"), F.col("leader.n").alias("leader_n")), "band").where(f"rank > {LEADERS}")
+    now = now.join(compared.select("a", F.col("b").alias("doc"), "common"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
+    # without a count (too different in size), a document has its smaller size in common with the leader at most, and beside it all it has
+    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
+    if not now.isEmpty():
+        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "within", "beside")])
+        least = "least(within, within_a) + least(beside, beside_a)"  # at least what they have in common
+        may_link = f"rank > rank_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a)"
+        first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("band")
+        pairs = now.join(other, "band").where(may_link).where(first).select(F.col("doc_a").alias("a"), F.col("doc").alias("b"))
+        state = components(links.unionByName(_links(_compared(written(pairs, "pairs"), docs))))
     group = classes.select("digest", "doc").join(state.toDF("doc", "comp"), "doc", "left").select("digest", F.coalesce("comp", "doc").alias("comp"))
     out = known.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
