@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .attribution import section_tokens
 from .audio import audio_features, stored_media
 from .ctw import scored
+from .decontamination import contaminated
 from .mainhtml import extracted
 from .minhash import near_duplicates
 from .packing import packed_sequences
@@ -62,5 +63,10 @@ def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_tree_scoring": op1_tree_scoring, "op2_noisy_channel": op2_noisy_channel, "op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
+def op5_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that any document contains, also with other numbers, names and units."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op5_template_windows": op5_template_windows, "op1_tree_scoring": op1_tree_scoring, "op2_noisy_channel": op2_noisy_channel, "op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
 ORACLE_SQL: dict[str, str] = {}
