@@ -385,6 +385,6 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     asked = questions(chunks, _asked(n_buckets, depth)).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(n_parts)).cast("int"))
     copies = model.select("bucket", "counts", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
     told = asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(_solved(roots, depth), "bucket int, chunk long, told binary")
-    both = with_answers(chunks, written(told, "told"))
+    both = with_answers(chunks, told)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, stream_bytes long, bits_per_byte double"
     return both.mapInArrow(_scores(n_buckets, depth, int(sums[1]), int(sums[0])), schema)
