@@ -31,6 +31,9 @@ BANDS = len(STRIDES) * REGISTERS // ROWS
 LEADERS = 3
 #: Share of the union that two sets must have in common, in hundredths.
 SIMILARITY = 75
+#: Sketch bits in which a pair at similarity 0.75 differs: an eighth of the registers, 21, and never five deviations of 4.3 more.
+MOST_BITS = 43
+_ALIKE = " + ".join(f"bit_count(bits[{i}] ^ bits_a[{i}])" for i in range(-(-REGISTERS // 64))) + f" <= {MOST_BITS}"
 _SIZES = f"100 * least(n, na) >= {SIMILARITY} * greatest(n, na)"
 
 
@@ -101,22 +104,30 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return keys
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """One bit of each register, packed into 64-bit words."""
+    odd = (mix(registers.copy()) & U64(1)).astype(np.uint8)
+    words_ = -(-REGISTERS // 64)
+    full = np.zeros((len(registers), words_ * 64), np.uint8)
+    full[:, :REGISTERS] = odd
+    return np.packbits(full, axis=1).view(np.uint64).reshape(len(registers), words_)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
         for i, j in blocks(offsets, 1 << 18):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            keys = band_keys(super_minhash(sets))
+            registers = super_minhash(sets)
+            keys, bits = band_keys(registers), sketches(registers)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
-            )
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *lists], names=["doc_id", "n_shingles", "digest", "bands", "bits"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set (null: empty set) and band keys of each document."""
-    return docs.select("doc_id", text_column()).mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    """doc_id, n_shingles, digest of the shingle set (null: empty set) band keys and sketch bits of each document."""
+    return docs.select("doc_id", text_column()).mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,22 +159,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates; all links are verified on full sets. At first each bucket's members are compared with LEADERS members alone, those that
     share most bands with others: in a group of copies, what they were copied from. Where a bucket's members then lie in several
     components, those of different components are compared, but for pairs that can't be links: what both share with the first leader, and
-    what both have beside it, bounds what they share. A pair is taken up in the first band that it shares only. So a group of alike
+    what both have beside it, bounds what they share; so do, but for a chance of 1e-6, the bits in which their sketches differ. A pair is taken up in the first band that it shares only. So a group of alike
     documents costs a few comparisons a member, and no link between components is lost. Null, empty or blank texts have an empty set, link
     with nothing and stay. Repeated doc_ids give repeated rows. Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
     known = written(signatures(docs), "signatures")
-    classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
     rows = classes.select("doc", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    inside = written(rows.join(shared, "band"), "buckets")
+    inside = written(rows.select("doc", "n", "band").join(shared, "band"), "buckets")
     known_by = inside.groupBy("doc").agg(F.sum("members").alias("mates"))
     order = Window.partitionBy("band").orderBy(F.desc("mates"), "doc")
-    members = written(inside.drop("members").join(known_by, "doc").withColumn("rank", F.row_number().over(order)).drop("mates"), "members")
-    top = members.where(f"rank <= {LEADERS}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"))
-    pairs = members.where("rank > 1").join(top, "band").where(f"rank > ra and {_SIZES}").select("a", F.col("doc").alias("b")).distinct()
+    of_doc = known_by.join(classes.select("doc", "bits"), "doc")
+    members = written(inside.drop("members").join(of_doc, "doc").withColumn("rank", F.row_number().over(order)).drop("mates"), "members")
+    top = members.where(f"rank <= {LEADERS}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("bits").alias("bits_a"))
+    pairs = members.where("rank > 1").join(top, "band").where(f"rank > ra and {_SIZES} and {_ALIKE}").select("a", F.col("doc").alias("b")).distinct()
     compared = _compared(pairs, docs)
     links = _links(compared)
     state = components(links)
@@ -171,12 +183,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most"), F.min(F.when(F.col("rank") == 1, F.struct("doc", "n"))).alias("leader")).where(f"low < high and most > {LEADERS + 1}")
     now = now.join(mixed.select("band", F.col("leader.doc").alias("a"), F.col("leader.n").alias("leader_n")), "band").where(f"rank > {LEADERS}")
     now = now.join(compared.select("a", F.col("b").alias("doc"), "common"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
-    # without a count (too different in size), a document has its smaller size in common with the leader at most, and beside it all it has
-    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
+    # without a count (too different in size or by sketch), a document has its smaller size in common with the leader at most, and beside it all it has
+    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", "bits", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
     if not now.isEmpty():
-        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "within", "beside")])
+        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "bits", "within", "beside")])
         least = "least(within, within_a) + least(beside, beside_a)"  # at least what they have in common
-        may_link = f"rank > rank_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a)"
+        may_link = f"rank > rank_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a) and {_ALIKE}"
         first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("band")
         pairs = now.join(other, "band").where(may_link).where(first).select(F.col("doc_a").alias("a"), F.col("doc").alias("b"))
         state = components(links.unionByName(_links(_compared(written(pairs, "pairs"), docs))))
