@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -140,12 +140,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "shingles"])
 
 
+def _one_bit(h: Column) -> Column:
+    """A word with the bit that bits 3 to 8 of a hash name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 3).bitwiseAND(63).cast("int"))
+
+
 def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sizes na and nb and the number of shingles in common, counted on full sets; written."""
+    """The pairs (a, b) with their sizes na and nb and the number of shingles in common, counted on full sets; written.
+
+    marks has a bit for each shingle that b has and a hasn't (several may share one).
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(docs.select("doc_id", text_column()).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return written(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common")), "compared")
+    counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("beside"))
+    word = lambda w: F.aggregate(F.filter("beside", lambda h: h.bitwiseAND(7) == w), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(_one_bit(h)))
+    marks = F.array(*[word(w) for w in range(8)])
+    return written(counted.select("a", "b", "na", "nb", (F.col("nb") - F.size("beside")).alias("common"), marks.alias("marks")), "compared")
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -159,7 +170,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates; all links are verified on full sets. At first each bucket's members are compared with LEADERS members alone, those that
     share most bands with others: in a group of copies, what they were copied from. Where a bucket's members then lie in several
     components, those of different components are compared, but for pairs that can't be links: what both share with the first leader, and
-    what both have beside it, bounds what they share; so do, but for a chance of 1e-6, the bits in which their sketches differ. A pair is taken up in the first band that it shares only. So a group of alike
+    what both can have in common beside it (512 marks of it tell), bounds what they share; so do, but for a chance of 1e-6, the bits in which their sketches differ. A pair is taken up in the first band that it shares only. So a group of alike
     documents costs a few comparisons a member, and no link between components is lost. Null, empty or blank texts have an empty set, link
     with nothing and stay. Repeated doc_ids give repeated rows. Empty table: no rows.
     """
@@ -182,12 +193,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     now = members.join(state.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most"), F.min(F.when(F.col("rank") == 1, F.struct("doc", "n"))).alias("leader")).where(f"low < high and most > {LEADERS + 1}")
     now = now.join(mixed.select("band", F.col("leader.doc").alias("a"), F.col("leader.n").alias("leader_n")), "band").where(f"rank > {LEADERS}")
-    now = now.join(compared.select("a", F.col("b").alias("doc"), "common"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
+    now = now.join(compared.select("a", F.col("b").alias("doc"), "common", "marks"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
     # without a count (too different in size or by sketch), a document has its smaller size in common with the leader at most, and beside it all it has
-    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", "bits", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
+    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", "bits", "marks", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
     if not now.isEmpty():
-        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "bits", "within", "beside")])
-        least = "least(within, within_a) + least(beside, beside_a)"  # at least what they have in common
+        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "bits", "marks", "within", "beside")])
+        only, only_a = ("coalesce(" + " + ".join(f"bit_count({x}[{w}] & ~{y}[{w}])" for w in range(8)) + ", 0)" for x, y in (("marks", "marks_a"), ("marks_a", "marks")))
+        # at least what they have in common: a mark that one has alone stands for a shingle that the other hasn't
+        least = f"least(within, within_a) + least(beside - {only}, beside_a - {only_a})"
         may_link = f"rank > rank_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a) and {_ALIKE}"
         first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("band")
         pairs = now.join(other, "band").where(may_link).where(first).select(F.col("doc_a").alias("a"), F.col("doc").alias("b"))
