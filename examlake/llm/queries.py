@@ -1,70 +1,83 @@
-"""The numbered operators as queries over their whole tables; each takes (spark, sf_dir)."""
+"""The numbered operators as queries over their whole tables; each takes (spark, sf_dir).
+
+A query imports its operator when it runs, so a driver holds in memory only what it uses.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .attribution import section_tokens
-from .audio import audio_features, stored_media
-from .ctw import scored
-from .decontamination import contaminated
-from .mainhtml import extracted
-from .minhash import near_duplicates
-from .packing import packed_sequences
 from .shared import table
-from .suffixes import repeated_strings
-from .toxicity import toxicity
-from .warc import read_archives, write_archives
 
 
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
+    from .minhash import near_duplicates
+
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the strings of 100 bytes that occur earlier."""
+    from .suffixes import repeated_strings
+
     return repeated_strings(table(spark, sf_dir, "documents"))
 
 
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under context-tree weighting and under token frequencies."""
+    from .ctw import scored
+
     return scored(table(spark, sf_dir, "documents"))
 
 
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at most 1024 tokens over all documents, each holding every source in proportion."""
+    from .packing import packed_sequences
+
     return packed_sequences(table(spark, sf_dir, "documents"))
 
 
 def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of all documents, from one encoding of each."""
+    from .attribution import section_tokens
+
     return section_tokens(table(spark, sf_dir, "documents"))
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and features of all documents stored as audio."""
+    from .audio import audio_features, stored_media
+
     return audio_features(stored_media(table(spark, sf_dir, "documents")), tensors=False)
 
 
 def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, written as archives and read back."""
+    from .warc import read_archives, write_archives
+
     rows = read_archives(write_archives(table(spark, sf_dir, "pages")), payloads=False)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
+    from .toxicity import toxicity
+
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
+    from .mainhtml import extracted
+
     return extracted(table(spark, sf_dir, "pages"))
 
 
 def op5_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that any document contains, also with other numbers, names and units."""
+    from .decontamination import contaminated
+
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
