@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 LEAST_PAGES, SHARE, LEAST_LENGTH, FRAGMENT = 3, 0.5, 4, 3
 TOP, BOTTOM = 0.07, 0.92
 #: Letters and digits of any script are what punctuation is not; how page numbers are written.
