@@ -150,7 +150,7 @@ def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     marks has a bit for each shingle that b has and a hasn't (several may share one).
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
     sets = written(docs.select("doc_id", text_column()).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("beside"))
