@@ -2,7 +2,7 @@
 
 Numbers, names within sentences and units behind numbers become typed placeholders, so a question that was given other numbers or names
 still has the same templates. Windows of WINDOW template words are hash-joined with those of the benchmark and compared word by word. The
-values that a document puts into an item's slots must be consistent: one value of the item always becomes the same value in the document.
+values that a document puts into an item's slots must be consistent: in one occurrence, a value of the item always becomes the same value.
 """
 
 from __future__ import annotations
@@ -73,25 +73,41 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return both.where(same).select("doc_id", "item_id", "at", "item_at", "item_windows", F.slice("words", F.col("at") + 1, WINDOW).alias("words"), "item_words", F.col("item_template").alias("template"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, n_conflicts: a row for each document and item it contains.
+def _counted(found: DataFrame) -> DataFrame:
+    """The figures of each occurrence of an item in a document.
 
-    docs: doc_id, text; benchmark: item_id, text. coverage is the share of the item's windows found; n_slots are the item's distinct values under
-    placeholders in them, n_changed those that the document gives another value, n_conflicts those it gives several. A pair counts
-    from LEAST_WINDOWS windows on (fewer if the item has no more) and up to MOST_CONFLICTS of its slots in conflict. Null and short texts
-    contain nothing; items of fewer than WINDOW words can't be found; repeated rows of either table count once; ties don't matter.
+    An occurrence has one offset between document and item. Two grids of offsets, shifted against each other, hold those into which words were
+    inserted; the whole document is one more, for an item in scattered parts. A window counts in each of the four.
     """
-    found = matches(docs, benchmark)
+    offset = F.col("at") - F.col("item_at")
+    grid = lambda shift: F.floor((offset + shift) / WINDOW)
+    places = [(0, offset), (1, grid(0)), (2, grid(WINDOW // 2)), (3, F.lit(0))]
+    placed = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), place.cast("long").alias("place")) for kind, place in places])).alias("occurrence")
     at = F.sequence(F.lit(1), F.lit(WINDOW))
     slots = F.filter(F.transform(at, lambda i: F.struct(F.element_at("template", i).alias("kind"), F.lower(F.element_at("item_words", i)).alias("item"), F.lower(F.element_at("words", i)).alias("doc"))), lambda s: s["kind"].isin(NUMBER, NAME, UNIT))
     # the items of a pair are few: an item's own windows and values bound both sets
-    pairs = found.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
+    pairs = found.select("*", placed).groupBy("doc_id", "item_id", "occurrence").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))
     by_value = F.transform(values, lambda v: F.filter("slots", lambda s: (s["kind"] == v["kind"]) & (s["item"] == v["item"])))
-    counted = pairs.withColumn("by_value", by_value).select(
+    return pairs.withColumn("by_value", by_value).select(
         "doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), (F.col("n_windows") / F.col("item_windows")).alias("coverage"),
         F.size("by_value").cast("long").alias("n_slots"),
         F.size(F.filter("by_value", lambda g: F.exists(g, lambda s: s["item"] != s["doc"]))).cast("long").alias("n_changed"),
         F.size(F.filter("by_value", lambda g: F.size(g) > 1)).cast("long").alias("n_conflicts"),
     )
-    return counted.where((F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), "item_windows")) & (F.col("n_conflicts") <= MOST_CONFLICTS * F.col("n_slots")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, n_conflicts: a row for each document and item it contains.
+
+    docs: doc_id, text; benchmark: item_id, text. The figures are those of one occurrence of the item in the document: of those that count, the one with
+    most windows, then fewest conflicts. coverage is the share of the item's windows found; n_slots are the item's distinct values under
+    placeholders in them, n_changed those that the document gives another value, n_conflicts those it gives several. An occurrence counts
+    from LEAST_WINDOWS windows on (fewer if the item has no more) and up to MOST_CONFLICTS of its slots in conflict. Null and short texts
+    contain nothing; items of fewer than WINDOW words can't be found; repeated rows of either table count once; ties don't matter.
+    """
+    counted = _counted(matches(docs, benchmark))
+    passing = counted.where((F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), "item_windows")) & (F.col("n_conflicts") <= MOST_CONFLICTS * F.col("n_slots")))
+    figures = counted.columns[2:]
+    best = F.max_by(F.struct(*figures), F.struct("n_windows", -F.col("n_conflicts"), -F.col("n_changed"))).alias("best")
+    return passing.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col(f"best.{name}") for name in figures])

@@ -332,6 +332,18 @@ def test_contamination_by_templates(spark):
     assert contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_contamination_by_occurrence(spark):
+    shops = "the first shop sells 12 red balls for 3 dollars each and the second shop sells 15 red balls for 4 dollars each"
+    other = "the first shop sells 22 red balls for 7 dollars each and the second shop sells 35 red balls for 9 dollars each"
+    inserted = shops.replace("each and the", "each and so the")
+    mixed = "the first shop sells 12 red balls for 3 dollars each or not. Then " + other
+    docs = [(1, "Intro. " + shops + " end"), (2, "Intro. " + other + " then more. Now " + shops), (3, inserted), (4, mixed), (5, "x " * 50)]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, shops)], "item_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4]
+    assert got[1].coverage == 1 and got[1].n_changed == got[1].n_conflicts == 0 and got[2].n_changed == got[2].n_conflicts == 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     for run in (near_duplicates, repeated_strings, scored, packed_sequences, section_tokens, lambda d: audio_features(stored_media(d))):
