@@ -344,6 +344,16 @@ def test_contamination_by_occurrence(spark):
     assert got[1].coverage == 1 and got[1].n_changed == got[1].n_conflicts == 0 and got[2].n_changed == got[2].n_conflicts == 0
 
 
+def test_contamination_of_items_with_few_windows(spark):
+    items = {1: "Compute 12 + 15 + 18 + 21 + 24 + 27 + 30", 2: "What is the capital of Peru?", 3: "The Old Man And The Sea By Ernest Hemingway Wins", 5: "", 6: None,
+             4: "when the teacher asked 5 of 9 kids 12 + 15 + 18 + 21 + 24", 7: "so then old Tom Baker went to see Anna in Lima and Paul in Cusco before he paid Maria for all"}
+    texts = {1: "x y " + items[1], 2: "ask what is the\ncapital of  peru ok", 3: "we read: " + items[3], 4: "now " + items[4].replace("9", "8") + " end", 5: "",
+             7: items[7].replace(" Anna", "\nAnna").replace(" Cusco", "  Cusco"), 8: items[7].lower(), 9: "compute 12 15 18 21 24 27 31 what is the capital of Chile"}
+    got = contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4), (7, 7), (8, 7)]
+    assert {r.doc_id: r.coverage for r in got}[7] == 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     for run in (near_duplicates, repeated_strings, scored, packed_sequences, section_tokens, lambda d: audio_features(stored_media(d))):
