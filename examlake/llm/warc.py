@@ -148,12 +148,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256))
     # SHA-256 alone decides which payloads are equal
-    keys = rows.where(F.length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("key"))
+    keys = rows.where(F.length("payload") >= least_bytes).select("page_id", "key")
     firsts = keys.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    again = keys.join(firsts, "key").where("page_id > refers_to").select("page_id", "refers_to").distinct()
-    full = rows.join(again, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    again = keys.join(firsts, "key").where("page_id > refers_to").select("page_id", "key", "refers_to").distinct()
+    # by page and payload: a page may have several payloads, and a payload may be that of very many pages
+    full = rows.join(again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
     return written(full.mapInArrow(_written_archives(folder), "path string, size long, records long"), "archives")
 
 

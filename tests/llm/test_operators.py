@@ -263,6 +263,16 @@ def test_archives_round_trip(spark):
     assert {r.record_type for r in read_archives(write_archives(pages, least_bytes=5)).collect()} == {"response"}
 
 
+def test_pages_fetched_again_keep_each_payload(spark):
+    rows = [(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (3, "u", "C"), (4, "u", "B"), (5, "u", "A"), (5, "u", "C")]
+    got = read_archives(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    payloads = {hashlib.sha1(x.encode()).digest(): x for x in "ABC"}
+    from base64 import b32decode
+
+    assert sorted((r.page_id, payloads[b32decode(r.payload_digest)], r.refers_to or 0) for r in got) == [(1, "A", 0), (2, "A", 1), (2, "B", 0), (3, "C", 0), (4, "B", 2), (5, "A", 1), (5, "C", 3)]
+    assert sorted(bytes(r.payload) for r in got if r.record_type == "response") == [b"A", b"B", b"C"]
+
+
 def test_reader_owns_each_record_once_for_any_split(tmp_path):
     rng = random.Random(2)
     raw = b"junk\x1f\x8b\x08junk" + b"".join(record(i, f"u{i}", os.urandom(rng.randint(0, 3000)), None) for i in range(20)) + b"\x1f\x8b"
