@@ -29,10 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that occur earlier; a document that is left without a word goes."""
+    """Documents without the strings that occur earlier; a document of which that leaves nothing but white space goes.
+
+    Documents without a word from the start (null, empty or blank) repeat nothing and stay; a null text is then an empty one.
+    """
     beside = docs.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("source").alias("source"))
-    rest = repeated_strings(docs, texts=True).select("doc_id", "text").join(beside, "doc_id")
-    return rest.withColumn("n_chars", F.length("text").cast("long")).where(F.col("text").rlike(r"\S")).select(COLUMNS)
+    rest = repeated_strings(docs, texts=True).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select("doc_id", "text").join(beside, "doc_id")
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,6 +332,16 @@ def test_extracted_keeps_every_row(spark):
     assert extracted(pages.where("false")).count() == 0
 
 
+def test_pipeline_keeps_documents_without_words(spark):
+    from corpus_pipeline import COLUMNS, cut_repeats
+
+    text = sentence(random.Random(5), 60)
+    rows = [(1, text), (2, text), (3, None), (4, ""), (5, " \n\t"), (6, "one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cut_repeats(spark, docs, "")
+    assert got.columns == COLUMNS and sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, text, len(text)), (3, "", 0), (4, "", 0), (5, " \n\t", 3), (6, "one", 3)]
+
+
 def test_contamination_by_templates(spark):
     item = "When Tom Baker buys 12 apples and 5 kg of pears he pays Anna exactly 40 dollars so what does Tom pay for 3 apples and will Tom then be glad"
     changed = "Intro. Now When Jim Baker buys 17 apples and 8 lb of pears he pays Mary exactly 31 euros so what does Jim pay for 6 apples and will Jim then be glad ok"
