@@ -21,7 +21,7 @@ from examlake.llm.minhash import near_duplicates, shingle_sets, super_minhash
 from examlake.llm.packing import packed_sequences
 from examlake.llm.shared import as_bytes, written
 from examlake.llm.suffixes import repeated_strings
-from examlake.llm.toxicity import Letters, increasing, restored, toxicity
+from examlake.llm.toxicity import Letters, clear, increasing, readings, restored, tokens, toxicity
 from examlake.llm.warc import owned_records, read_archives, record, write_archives
 
 SYLLABLES = "th an er on re in ti es en at ed ha ou ing ion".split()
@@ -309,6 +309,17 @@ def test_lattice_decoding():
     assert [restored(x, model) for x in ("1d10t", "l.o.s.e.r", "heellllo", "7r@5h", "loser", "")] == ["idiot", "loser", "hello", "trash", "loser", ""]
 
 
+def test_tokens_with_several_readings():
+    model = Letters(Letters.of(Counter({w: 50 for w in ("idiot", "stupid", "trash", "moron", "clown", "you", "hag")})))
+    written_so = {"stuupid": "stupid", "trrash": "trash", "mooron": "moron", "!diot": "idiot", "|diot,": "idiot", "(lown": "clown", "idiot!": "idiot", "h a g": "hag", "a$$": "ass"}
+    for token, word in written_so.items():
+        assert token in tokens("x, " + token + " yz") or " " not in token
+        assert word in readings(token, model), token
+    assert [clear(x, model) for x in ("stuupid", "!diot", "(lown", "idiot!", "(trash)", "you")] == ["stupid", "idiot", "clown", "idiot", "trash", "you"]
+    (run,) = (t for t in tokens("so y o u i d i o t there") if " " in t)
+    assert {"you", "idiot"} <= readings(run, model)
+
+
 def test_steps_never_fall():
     steps = increasing(np.array([0, 3, 1, 0, 9]), np.array([10, 4, 4, 0, 9]))
     assert steps == sorted(steps) and len(steps) == 5 and steps[:2] == [0, 0.5] and steps[-1] == 1
