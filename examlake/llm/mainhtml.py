@@ -22,7 +22,7 @@ _BLANK = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_HIDDEN = frozenset("script style noscript iframe template svg math canvas object embed head title textarea select option button input form nav footer aside header dialog menu audio video map figure".split())
+_HIDDEN = frozenset("script style noscript iframe template svg math canvas object embed head title textarea select option button input form nav footer aside header dialog menu audio video map".split())
 #: Parts of class, id and role values that say an element is no article.
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|commentlist|cookies?|consent|disqus|dialog|footer|footnav|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|"
@@ -43,8 +43,8 @@ class Node:
         self.text = self.links = self.own = 0  # characters: below, below and in links, in the node's own line of text
 
 
-def _noise(tag: str, attributes: str) -> bool:
-    if tag in _HIDDEN:
+def _noise(tag: str, attributes: str, here: Node) -> bool:
+    if tag in _HIDDEN and not (tag == "header" and any(n in ("article", "main") for n in _open(here))):  # an article's header has its title
         return True
     if not attributes or tag in _MAIN:
         return False
@@ -97,7 +97,7 @@ def tree(page: str) -> Node:
             if tag == "hr":
                 here.children.append(Node("hr", here))
             continue
-        if _noise(tag, match[3]) and not (match[3] or "").endswith("/"):
+        if _noise(tag, match[3], here) and not (match[3] or "").endswith("/"):
             if tag not in _INLINE:
                 here = _without_paragraph(here)
                 here.children.append(Node("hr", here))
@@ -203,7 +203,7 @@ def main_text(page: str | None) -> str:
             above = above.parent
         node.own += len(text)
         points = (PARAGRAPH + sum(text.count(c) for c in ",，、") + min(len(text) // CHARS_A_POINT, MOST_LENGTH_POINTS)) * (1 - linked / len(text))
-        holder = node.parent if node.tag in ("p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") else node
+        holder = node.parent if node.tag in ("p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption") else node
         for share in (1.0, 0.5):
             if holder is None:
                 break
@@ -222,13 +222,14 @@ def main_text(page: str | None) -> str:
             heading = sibling.tag in ("h1", "h2") and best.tag not in ("article", "main")
             if value(sibling) >= SIBLING * value(best) or (sibling.tag == "p" and sibling.text >= LONG) or heading:
                 kept.add(id(sibling))
+    article = id(best) if best.tag not in ("#root", "html", "body") else None  # its lists and links are its own; a whole page's may be menus
     out = []
     for node, text, linked in lines:
         above, menu = node, False
         while above and id(above) not in kept:
             menu = menu or (above.tag in ("ul", "ol", "table", "dl") and above.links > 0.5 * above.text)
             above = above.parent
-        if above and not menu and not (linked == len(text) and node.tag in ("div", "li") and len(text) < LONG):
+        if above and (id(above) == article or not menu and not (linked == len(text) and node.tag in ("div", "li") and len(text) < LONG)):
             out.append(text)
     return "\n\n".join(out)
 

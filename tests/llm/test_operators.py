@@ -336,6 +336,13 @@ def test_main_text():
     assert [main_text(x) for x in (None, "", "<nav><a>x</a></nav>", "<script>1", "just text", "<p>x <b>y")] == ["", "", "", "", "just text", "x y"]
 
 
+def test_main_text_keeps_parts_of_the_article():
+    page = """<body><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><article><header><h1>Title</h1></header><p>A paragraph, long enough, with commas, to be the article of this page.</p>
+<figure><table><tr><td>cell<td>other</table><figcaption>A caption</figcaption></figure><figure><pre>x = 1</pre></figure><ul><li><a href="/r">First reference</a><li><a href="/s">Second reference</a></ul>
+<div><a href="/t">One link</a></div></article><ul><li><a href="/m">Menu</a></ul><footer>f</footer></body>"""
+    assert main_text(page).split("\n\n") == ["Title", "A paragraph, long enough, with commas, to be the article of this page.", "cell", "other", "A caption", "x = 1", "First reference", "Second reference", "One link"]
+
+
 def test_extracted_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = extracted(pages).collect()
