@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encode, token_bytes
-from .shared import text_column
+from .shared import releasing, text_column
 
 RULE = "most"
 
@@ -79,4 +79,4 @@ def section_tokens(docs: DataFrame, sections: DataFrame | None = None, rule: str
         ends = sections.where("doc_id is not null and stop is not null").groupBy("doc_id").agg(F.collect_set(F.col("stop").cast("long")).alias("ends"))
         plain = plain.join(ends, "doc_id", "left")
     schema = "doc_id long, section long, start long, stop long, n_tokens long, n_crossing long, doc_tokens long"
-    return plain.mapInArrow(_counted(rule, folder), schema)
+    return plain.mapInArrow(releasing(_counted(rule, folder)), schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_column, written
+from .shared import releasing, text_column, written
 
 RATE = 16_000
 BLOCK = 576
@@ -122,7 +122,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, padded by 255 to a positive multiple of BLOCK, as WAVE in a written table."""
-    return written(docs.select("doc_id", text_column()).mapInArrow(_stored, "doc_id long, n_bytes long, media binary"), "media")
+    return written(docs.select("doc_id", text_column()).mapInArrow(releasing(_stored), "doc_id long, n_bytes long, media binary"), "media")
 
 
 def _described(tensors: bool):
@@ -159,7 +159,7 @@ def audio_features(media: DataFrame, tensors: bool = True) -> DataFrame:
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     more = ", tensors binary, spans array<struct<start_ms: double, stop_ms: double>>" if tensors else ""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_described(tensors), schema + more)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(releasing(_described(tensors)), schema + more)
 
 
 def tensor_column(tensors: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:

@@ -14,6 +14,8 @@ from functools import cache
 
 import numpy as np
 
+from .shared import kept_in_worker
+
 #: The vocabulary; its files lie where public_tokenizers.path says, unless a folder is given.
 VOCABULARY = "byte_bpe_50k"
 #: Texts made of these only are split alike by both libraries: ASCII without control characters (but line ends), Latin letters.
@@ -58,6 +60,10 @@ def token_bytes(folder: str | None = None) -> np.ndarray:
     return sizes
 
 
+for _loaded in (_tokenizer, _ranks, _fast, token_bytes):
+    kept_in_worker(_loaded.cache_clear)
+
+
 def encode(text: str, folder: str | None = None) -> np.ndarray:
     """The ids of a text, without added special tokens; an empty text has none."""
     if "<|" not in text and _PLAIN.fullmatch(text):

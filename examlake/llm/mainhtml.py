@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import releasing
+
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z_:][-\w:.]*)")
@@ -249,4 +251,4 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null or empty html, or a page without text outside menus and the like, gives an empty text. White space inside a block is one space;
     blocks are in page order. Repeated rows stay; other columns don't matter; an empty table gives no rows.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(releasing(_extracted), "page_id long, url string, text string, n_chars long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import U64, Rolling, as_bytes, blocks, mix, text_column, words, written
+from .shared import U64, Rolling, as_bytes, blocks, mix, releasing, text_column, words, written
 
 SHINGLE_WORDS = 5
 #: Registers of a signature, and how many of them make a band. Each register is in one band for each stride: that of stride s holds the
@@ -127,7 +127,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set (null: empty set) band keys and sketch bits of each document."""
-    return docs.select("doc_id", text_column()).mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
+    return docs.select("doc_id", text_column()).mapInArrow(releasing(_signatures), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     marks has a bit for each shingle that b has and a hasn't (several may share one).
     """
     wanted = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct()).distinct()
-    sets = written(docs.select("doc_id", text_column()).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = written(docs.select("doc_id", text_column()).join(wanted, "doc_id").mapInArrow(releasing(_sets), "doc_id long, shingles array<long>"), "sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("beside"))
     word = lambda w: F.aggregate(F.filter("beside", lambda h: h.bitwiseAND(7) == w), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(_one_bit(h)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoding import encode
-from .shared import text_column, written
+from .shared import releasing, text_column, written
 
 WINDOW = 1024
 #: The id behind each document.
@@ -106,7 +106,7 @@ def packed_sequences(docs: DataFrame, source: str = "source", folder: str | None
     rule: the order within a queue is that of the written table. Repeated doc_ids are packed each; an empty table gives no rows.
     """
     plain = docs.select("doc_id", F.col(source).cast("string").alias("source"), text_column())
-    ids = written(plain.mapInArrow(_encoded(folder), "doc_id long, source string, part int, inside long, doc_tokens long, ids binary"), "ids")
+    ids = written(plain.mapInArrow(releasing(_encoded(folder)), "doc_id long, source string, part int, inside long, doc_tokens long, ids binary"), "ids")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     held = ids.select("part", key.alias("queue"), "doc_tokens").groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
     before = held.withColumn("earlier", F.sum("tokens").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
@@ -119,4 +119,4 @@ def packed_sequences(docs: DataFrame, source: str = "source", folder: str | None
         places = F.broadcast(places)
     placed = ids.withColumn("queue", key).join(places, ["part", "queue"])
     cut = placed.select("doc_id", "source", "ids", (F.col("earlier") + F.col("inside")).alias("first"), "low", "high", "total")
-    return cut.mapInArrow(_pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return cut.mapInArrow(releasing(_pieces), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -6,9 +6,12 @@ numpy calls instead of a Python step per character.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,48 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What tasks of this package keep in a Python worker between batches; each entry empties one such cache.
+_caches: list[Callable[[], None]] = []
+
+
+def kept_in_worker(clear: Callable[[], None]) -> None:
+    """Register a cache that releasing() empties."""
+    _caches.append(clear)
+
+
+def release() -> None:
+    """Empty the caches of this worker and give its free memory back to the system."""
+    for clear in _caches:
+        clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give the worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it: the allocator keeps what it has
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """run (batches in, batches out) for mapInArrow or mapInPandas, releasing the worker's memory at its end.
+
+    Workers outlive their tasks and idle ones stay for a minute, so what one operator leaves behind would add up with the next one's.
+    """
+
+    @wraps(run)
+    def all_batches(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return all_batches
+
+
 def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
@@ -93,16 +138,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+kept_in_worker(_powers.clear)
+#: Entries up to which tables of powers are kept for the next block; those for a longer text are made for it alone.
+_KEPT_POWERS = (BLOCK_BYTES * 9) // 8
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse; the longest tables asked for so far are kept, one pair a base."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(1 << 16, n + n // 8)
-        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        _powers[base] = np.cumprod(up), np.cumprod(down)
-    return _powers[base]
+    """Powers of an odd base and of its inverse."""
+    if base in _powers and len(_powers[base][0]) >= n:
+        return _powers[base]
+    size = min(max(1 << 16, n + n // 8), max(n, _KEPT_POWERS))
+    up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if size <= _KEPT_POWERS:
+        _powers[base] = up, down
+    return up, down
 
 
 class Rolling:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import releasing, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that a reading task looks at, and that it fetches at once.
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     again = keys.join(firsts, "key").where("page_id > refers_to").select("page_id", "key", "refers_to").distinct()
     # by page and payload: a page may have several payloads, and a payload may be that of very many pages
     full = rows.join(again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
-    return written(full.mapInArrow(_written_archives(folder), "path string, size long, records long"), "archives")
+    return written(full.mapInArrow(releasing(_written_archives(folder)), "path string, size long, records long"), "archives")
 
 
 def _read(payloads: bool):
@@ -190,7 +190,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int =
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = archives.select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + split_bytes, "size"))
     spread = splits.repartition("path", "start")
-    return spread.mapInArrow(_read(payloads), _KINDS if payloads else _KINDS.rpartition(",")[0])
+    return spread.mapInArrow(releasing(_read(payloads)), _KINDS if payloads else _KINDS.rpartition(",")[0])
 
 
 def read_files(spark: SparkSession, pattern: str, payloads: bool = True) -> DataFrame:
