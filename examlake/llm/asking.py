@@ -1,8 +1,9 @@
 """Questions from chunks to key buckets and answers back: how tasks look up corpus-wide facts without any shared table.
 
-A chunk asks about many 64-bit keys. All keys of one bucket travel as one packed row, in the chunk's order; the bucket sees the rows of
-all chunks, works out an answer for each key and returns them packed in the same order. A row is never more than one key's worth, so
-there are at most as many rows as keys, and a key that every chunk has costs its bucket one entry a chunk, not one an occurrence.
+A chunk asks about many 64-bit keys, each distinct one once. All keys of one bucket travel as one packed row, in the chunk's order; the
+bucket sees the rows of all chunks, works out an answer for each key and returns them packed in the same order. There are at most as many
+rows as keys. A key that very many chunks ask about is met in stages: the chunks of a part are solved together first, and only what is
+distinct within the part goes on, so a bucket gets one entry a part for it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import rows_of
+from .shared import releasing, trim, written
+
+#: Chunks whose questions to one bucket are met by one task before the bucket itself; of fewer chunks, the bucket takes the questions at once.
+CHUNKS_A_PART = 1024
+
 
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one zstd frame, each behind its length and type."""
@@ -37,35 +44,61 @@ def expand(frame: bytes) -> list[np.ndarray]:
 
 def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each bucket that occurs: its number and the indices it has, in order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket.astype(np.uint16 if n <= 65536 else np.int64), kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(ends)):
-        yield int(b), order[ends[b] : ends[b + 1]]
+    sorted_ = bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True):
+        yield int(sorted_[a]), order[a:b]
 
 
 def questions(chunks: DataFrame, ask: Callable[[dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """bucket, chunk, asked: what ask(row of a chunk) yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                got = list(ask(row))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([row["chunk"]] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "chunk", "asked"])
-
-    return chunks.mapInArrow(run, "bucket int, chunk long, asked binary")
+        for row in rows_of(batches):
+            got = list(ask(row))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([row["chunk"]] * len(got), pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["bucket", "chunk", "asked"])
 
+    return chunks.mapInArrow(releasing(run), "bucket int, chunk long, asked binary")
 
-def answers(asked: DataFrame, solve: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
-    """bucket, chunk, told: solve(bucket, packed questions) gives a packed answer for each question."""
 
+def _direct(solve: Callable[[list[bytes]], list[bytes]]):
     def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        told = solve(bucket, group.column("asked").to_pylist())
+        group = group.sort_by("chunk")  # of equal doc_ids, the one in the earlier chunk counts as earlier
+        told = solve(group.column("asked").to_pylist())
+        out = pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "told": pa.array(told, pa.binary())})
+        trim()
+        return out
+
+    return run
+
+
+def answers(asked: DataFrame, n_chunks: int, solve: Callable, narrow: Callable, widen: Callable, chunks_a_part: int = CHUNKS_A_PART) -> DataFrame:
+    """bucket, chunk, told: a packed answer for each packed question.
+
+    solve(questions) answers questions that are all there are in a bucket. For more than chunks_a_part chunks, narrow(questions) gives one
+    question in the same form that stands for those of a part, and widen(questions, answer to it) their answers.
+    """
+    if n_chunks <= chunks_a_part:
+        return asked.groupBy("bucket").applyInArrow(_direct(solve), "bucket int, chunk long, told binary")
+    parts = -(-n_chunks // chunks_a_part)
+    asked = written(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")), "asked")
+
+    def narrowed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        return pa.table({"bucket": group.column("bucket")[:1], "chunk": group.column("part")[:1].cast(pa.int64()), "asked": pa.array([narrow(group.column("asked").to_pylist())], pa.binary())})
+
+    def widened(group: pa.Table, answer: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        told = widen(group.column("asked").to_pylist(), answer.column("told")[0].as_py())
         return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "told": pa.array(told, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, "bucket int, chunk long, told binary")
+    own = asked.groupBy("bucket", "part").applyInArrow(narrowed, "bucket int, chunk long, asked binary")
+    told = own.groupBy("bucket").applyInArrow(_direct(solve), "bucket int, chunk long, told binary").withColumn("part", F.col("chunk").cast("int"))
+    return asked.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(widened, "bucket int, chunk long, told binary")
 
 
 def with_answers(chunks: DataFrame, told: DataFrame, name: str = "told") -> DataFrame:

@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asking import by_bucket, expand, questions, squeeze, with_answers
-from .chunks import packed, unpack
-from .shared import U64, Rolling, as_bytes, blocks, mix, text_column, words, written
+from .chunks import id_column, packed, rows_of, unpack
+from .shared import U64, Rolling, as_bytes, blocks, mix, releasing, trim, words, written
 
 #: Context bytes of the deepest nodes.
 DEPTH = 5
-#: Chunks whose questions to one bucket are answered by one task; more chunks, more tasks a bucket.
-CHUNKS_A_TASK = 512
+#: Training strings of a bucket whose questions one task answers at least; more, more tasks, each with a copy of the bucket's counts. A bucket of
+#: many distinct strings is copied only for eight times as many occurrences, so all copies together are smaller than the corpus.
+STRINGS_A_TASK = 32 << 20
+#: Tasks whose counts of one bucket are merged at once; of more, they are merged in rounds.
+MERGED_AT_ONCE = 256
 END = 10
 _HALF = log(0.5)
 
@@ -62,9 +65,10 @@ class _Chunk:
     """A chunk of token streams: its distinct strings of DEPTH + 1 bytes and its distinct words."""
 
     def __init__(self, row: dict, depth: int):
-        self.ids, data, self.offsets = unpack(row["ids"], row["sizes"], row["payload"])
-        self.data, self.depth = data, depth
-        self.train = np.array([not held_out(int(x)) for x in self.ids], bool)
+        self.ids, self.data, self.offsets = unpack(row)
+        self.depth = depth
+        known = np.frombuffer(row["known"], np.uint8)
+        self.train = np.array([not (k and held_out(int(x))) for x, k in zip(self.ids, known, strict=True)], bool)
 
     def strings(self) -> np.ndarray:
         """A number for each byte: the nearest context byte is the most significant, the byte itself the least; before a text, end marks."""
@@ -131,28 +135,28 @@ def _training(n_buckets: int, depth: int, held: int = 1 << 21):
                     yield pa.RecordBatch.from_arrays([pa.array([2 * b + kind for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "counts"])
                     found.clear()
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = _Chunk({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}, depth)
-                use = np.repeat(chunk.train, np.diff(chunk.offsets))
-                parts[0].append(_counted(chunk.strings()[use]))
-                key, per_doc = chunk.tokens()
-                parts[1].append(_counted(key[np.repeat(chunk.train, per_doc)]))
-                for found in parts.values():
-                    if len(found) > 1 and len(found[-1][0]) + len(found[0][0]) < held:
-                        found[:] = [_merged(found)]
-                if sum(len(p[0]) for p in parts[0]) > held or sum(len(p[0]) for p in parts[1]) > held:
-                    yield from flush()
+        for row in rows_of(batches):
+            chunk = _Chunk(row, depth)
+            use = np.repeat(chunk.train, np.diff(chunk.offsets))
+            parts[0].append(_counted(chunk.strings()[use]))
+            key, per_doc = chunk.tokens()
+            parts[1].append(_counted(key[np.repeat(chunk.train, per_doc)]))
+            for found in parts.values():
+                if len(found) > 1 and len(found[-1][0]) + len(found[0][0]) < held:
+                    found[:] = [_merged(found)]
+            if sum(len(p[0]) for p in parts[0]) > held or sum(len(p[0]) for p in parts[1]) > held:
+                yield from flush()
         yield from flush()
 
     return run
 
 
 def _merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One frame for a bucket; of words also their number and sum."""
-    parts = [expand(x) for x in pdf["counts"]]
-    key, n = _merged([(_undelta(p[0]), p[1].astype(np.int64)) for p in parts])
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "counts": [squeeze(_delta(key), n)], "distinct": [len(key)], "total": [int(n.sum())]})
+    """One frame for a bucket (or a part of its frames), with the number of keys and their sum."""
+    key, n = _merged([(_undelta(p[0]), p[1].astype(np.int64)) for p in map(expand, pdf["counts"])])
+    out = pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "part": [pdf["part"].iloc[0]], "counts": [squeeze(_delta(key), n)], "distinct": [len(key)], "total": [int(n.sum())]})
+    trim()
+    return out
 
 
 _LOG_GAMMA_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4096) - 0.5))])  # log of gamma(n + 1/2) / gamma(1/2)
@@ -308,7 +312,9 @@ def _solved(roots: _Roots, depth: int):
             all_, counts = _merged([(have, n)] + [(w, np.zeros(len(w), np.int64)) for w in wanted])
             value = roots.log10(all_, _Trees(all_, counts, depth, 2).bits(), depth).astype(np.float32)
             told = [squeeze(value[np.searchsorted(all_, w)]) for w in wanted]
-        return pa.table({"bucket": pa.array([bucket] * len(told), pa.int32()), "chunk": asked.column("chunk").cast(pa.int64()), "told": pa.array(told, pa.binary())})
+        out = pa.table({"bucket": pa.array([bucket] * len(told), pa.int32()), "chunk": asked.column("chunk").cast(pa.int64()), "told": pa.array(told, pa.binary())})
+        trim()
+        return out
 
     return run
 
@@ -341,50 +347,62 @@ def _values(row: dict, kind: int, bucket: np.ndarray, n_buckets: int, dtype) ->
 
 
 def _scores(n_buckets: int, depth: int, n_train: int, n_words: int):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "stream_bytes", "bits_per_byte"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                chunk = _Chunk(row, depth)
-                strings = chunk.strings()
-                key = _counted(strings)[0]
-                value = _values(row, 0, _string_bucket(key, depth, n_buckets), n_buckets, np.float64)
-                score = np.add.reduceat(value[_Lookup(key)(strings)], chunk.offsets[:-1])
-                token, per_doc = chunk.tokens()
-                key = _counted(token)[0]
-                seen = _values(row, 1, _word_bucket(key, n_buckets), n_buckets, np.int64)[_Lookup(key)(token)]
-                first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
-                base = np.add.reduceat(np.log10((seen + 1) / (n_train + (n_words + 1))), first)
-                known = np.add.reduceat((seen > 0).astype(np.int64), first)
-                columns = [chunk.ids, ~chunk.train, per_doc, known, np.full(len(first), n_train), base, score, np.diff(chunk.offsets), -score / np.log10(2) / np.diff(chunk.offsets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "stream_bytes", "bits_per_byte"])
+        for row in rows_of(batches):
+            chunk = _Chunk(row, depth)
+            strings = chunk.strings()
+            key = _counted(strings)[0]
+            value = _values(row, 0, _string_bucket(key, depth, n_buckets), n_buckets, np.float64)
+            score = np.add.reduceat(value[_Lookup(key)(strings)], chunk.offsets[:-1])
+            token, per_doc = chunk.tokens()
+            key = _counted(token)[0]
+            seen = _values(row, 1, _word_bucket(key, n_buckets), n_buckets, np.int64)[_Lookup(key)(token)]
+            first = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
+            base = np.add.reduceat(np.log10((seen + 1) / (n_train + (n_words + 1))), first)
+            known = np.add.reduceat((seen > 0).astype(np.int64), first)
+            columns = [~chunk.train, per_doc, known, np.full(len(first), n_train), base, score, np.diff(chunk.offsets), -score / np.log10(2) / np.diff(chunk.offsets)]
+            yield pa.RecordBatch.from_arrays([id_column(row), *[pa.array(x) for x in columns]], names=names)
 
     return run
 
 
-def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _merged_counts(counts: DataFrame, n_chunks: int, at_once: int) -> DataFrame:
+    """One row a bucket: bucket, counts, distinct, total. A frame comes from a task of some chunks; n_chunks bounds their number."""
+    frame = "bucket int, part int, counts binary, distinct long, total long"
+    counts, parts = counts.withColumn("part", F.spark_partition_id()), n_chunks // at_once
+    while parts > 1:
+        counts = counts.withColumn("part", F.col("part") % parts).groupBy("bucket", "part").applyInPandas(_merge_counts, frame).select("bucket", "part", "counts")
+        parts //= at_once
+    return counts.groupBy("bucket").applyInPandas(_merge_counts, frame).drop("part")
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, strings_a_task: int = STRINGS_A_TASK, merged_at_once: int = MERGED_AT_ONCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, stream_bytes, bits_per_byte of each document.
 
     score is the log10 probability of the token stream under context-tree weighting; bits_per_byte its code length for each byte of the
-    stream. Documents with crc32(doc_id as text) mod 7 = 2 are held out of all counts. A null, empty or blank text is the end mark alone;
-    without training documents every count is 0 and each bit has probability one half. Repeated rows count and appear each time; other
-    columns don't matter; an empty table gives no rows.
+    stream. Documents with crc32(doc_id as text) mod 7 = 2 are held out of all counts; one with a null doc_id isn't. A null, empty or blank
+    text is the end mark alone; without training documents every count is 0 and each bit has probability one half. Repeated rows count and
+    appear each time; other columns don't matter; an empty table gives no rows.
     """
-    chunks = written(packed(docs.select("doc_id", text_column()).mapInArrow(_streams, "doc_id long, text binary")), "streams")
+    chunks = written(packed(docs, before=_streams), "streams")
     n_chunks = chunks.count()
     n_buckets = max(4, n_chunks // 2)
-    counts = chunks.mapInArrow(_training(n_buckets, depth), "bucket int, counts binary")
-    salted = counts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(1 + n_chunks // (8 * CHUNKS_A_TASK))))
-    frame = "bucket int, counts binary, distinct long, total long"
-    parts = salted.groupBy("bucket", "part").applyInPandas(_merge_counts, frame)
-    model = written(parts.groupBy("bucket").applyInPandas(_merge_counts, frame), "model")
+    counts = chunks.mapInArrow(releasing(_training(n_buckets, depth)), "bucket int, counts binary")
+    model = written(_merged_counts(counts, n_chunks, merged_at_once), "model")
     sums = model.where("bucket % 2 = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    top = model.select("bucket", "counts").mapInPandas(_tops(depth), "context long, decision long, zeros double, ones double, weighted double")
+    top = model.select("bucket", "counts").mapInPandas(releasing(_tops(depth)), "context long, decision long, zeros double, ones double, weighted double")
     roots = _Roots(top.groupBy("context", "decision").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]).toPandas())  # at most 256 * 255 rows
-    n_parts = 1 + n_chunks // CHUNKS_A_TASK
-    asked = questions(chunks, _asked(n_buckets, depth)).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(n_parts)).cast("int"))
-    copies = model.select("bucket", "counts", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+    asked = questions(chunks, _asked(n_buckets, depth))
+    known = model.select("bucket", "counts", F.expr(f"cast(1 + total div greatest({strings_a_task}, 8 * distinct) as int)").alias("parts"))
+    several = known.where("parts > 1").select("bucket", "parts")
+    if several.isEmpty():
+        asked = asked.withColumn("part", F.lit(0))
+    else:  # an occurrence in training is at most one question of a chunk, so `total` bounds what a bucket is asked
+        asked = asked.join(several, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("chunk"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = known.select("bucket", "counts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     told = asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(_solved(roots, depth), "bucket int, chunk long, told binary")
     both = with_answers(chunks, told)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, stream_bytes long, bits_per_byte double"
-    return both.mapInArrow(_scores(n_buckets, depth, int(sums[1]), int(sums[0])), schema)
+    return both.mapInArrow(releasing(_scores(n_buckets, depth, int(sums[1]), int(sums[0]))), schema)
