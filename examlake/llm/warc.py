@@ -20,9 +20,14 @@ from pyspark.sql import functions as F
 from .shared import releasing, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes that a reading task looks at, and that it fetches at once.
+#: Bytes of a byte range, bytes that a reading task gets at most (in one or several ranges), and that it fetches at once.
 SPLIT_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 FETCH_BYTES = 1 << 18
+#: Parts into which the pages of a payload are dealt, as one payload (the empty one) may be that of very many pages.
+SALTS = 16
+#: Revisits up to which they are broadcast (about 30 MB); more are joined by a shuffle.
+BROADCAST_REVISITS = 250_000
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 _URN = "urn:examlake:page:"
@@ -55,22 +60,30 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def _number(urn: str | None) -> int | None:
+    """The page_id in a record id of this module; None in any other."""
+    found = (urn or "").strip("<>")
+    return int(found.removeprefix(_URN)) if found.startswith(_URN) and found != _URN else None
+
+
 def parsed(raw: bytes) -> dict | None:
-    """The record that a member decodes to; None if it isn't one."""
+    """The record that a member decodes to; None if it isn't one. Other kinds than response and revisit have a record_type alone."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"WARC/"):
         return None
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    if not fields.get("Content-Length", "").isdigit() or rest[int(fields["Content-Length"]) :] != b"\r\n\r\n":
+    fields = {name.lower(): value for name, value in (line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)}
+    if not fields.get("content-length", "").isdigit() or rest[int(fields["content-length"]) :] != b"\r\n\r\n":
         return None
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    kind = fields.get("warc-type", "")
+    if kind not in ("response", "revisit"):
+        return {"record_type": kind}
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-    number = lambda name: int(x) if (x := fields.get(name, "<>")[1:-1].rpartition(":")[2]) else None
-    revisit = fields["WARC-Type"] == "revisit"
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if not revisit and (digest != digest_of(payload) or length != len(payload)):
-        raise ValueError(f"damaged payload of record {fields['WARC-Record-ID']}")
-    return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To") if revisit else None, "payload_bytes": length, "payload_digest": digest, "payload": None if revisit else payload}
+    revisit = kind == "revisit"
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or (None if revisit else digest_of(payload))
+    if not revisit and (digest != digest_of(payload) or length not in (None, len(payload))):
+        raise ValueError(f"damaged payload of record {fields.get('warc-record-id')}")
+    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _number(fields.get("warc-refers-to")) if revisit else None, "payload_bytes": length if revisit else len(payload), "payload_digest": digest, "payload": None if revisit else payload}
 
 
 def _opened(path: str):
@@ -116,7 +129,8 @@ def owned_records(source, start: int, stop: int, size: int, fetch: int = FETCH_B
         if row is None:
             at += 1
         else:
-            yield row
+            if "payload" in row:
+                yield row
             at = got[1]
 
 
@@ -150,11 +164,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256))
     # SHA-256 alone decides which payloads are equal
-    keys = rows.where(F.length("payload") >= least_bytes).select("page_id", "key")
+    keys = rows.where(F.length("payload") >= least_bytes).select("page_id", "key", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
     firsts = keys.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    again = keys.join(firsts, "key").where("page_id > refers_to").select("page_id", "key", "refers_to").distinct()
-    # by page and payload: a page may have several payloads, and a payload may be that of very many pages
-    full = rows.join(again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = written(keys.join(firsts, ["key", "salt"]).where("page_id > refers_to").select("page_id", "key", "refers_to").distinct(), "revisits")
+    # by page and payload: a page may have several payloads
+    few = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    full = rows.join(F.broadcast(again) if few else again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
     return written(full.mapInArrow(releasing(_written_archives(folder)), "path string, size long, records long"), "archives")
 
 
@@ -181,15 +197,22 @@ def _read(payloads: bool):
     return run
 
 
+def reading_tasks(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> int:
+    """Tasks for the byte ranges of all archives: a few for each core, more where that would be over TASK_BYTES each, never more than ranges."""
+    ranges, total = archives.agg(F.coalesce(F.sum(F.ceil(F.col("size") / split_bytes)), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(1, min(int(ranges), max(4 * archives.sparkSession.sparkContext.defaultParallelism, int(total) // TASK_BYTES)))
+
+
 def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits) of all records.
 
-    archives: path and size of each file. Payload digests are verified as they are read. Bytes between members that are no record are passed over; an
-    empty table gives no rows.
+    archives: path and size of each file. Payload digests are verified as they are read; a response without one gets its own. Records of
+    other kinds, and bytes between members that are no record, are passed over; page_id is null where a record id isn't one of this module. An empty table gives no rows.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = archives.select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + split_bytes, "size"))
-    spread = splits.repartition("path", "start")
+    # a number of its own, which adaptive execution leaves as it is: the rows are few and small, what they stand for isn't
+    spread = splits.repartition(reading_tasks(archives, split_bytes))
     return spread.mapInArrow(releasing(_read(payloads)), _KINDS if payloads else _KINDS.rpartition(",")[0])
 
 
