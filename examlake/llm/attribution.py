@@ -53,16 +53,17 @@ def _counted(rule: str, folder: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                part, out = batch.slice(i, 500), []
+                part, out, ids_of = batch.slice(i, 500), [], []
                 given = part.column("ends").to_pylist() if "ends" in part.schema.names else [None] * part.num_rows
                 for doc_id, text, own in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), given, strict=True):
                     ends = line_sections(text) if own is None else np.unique(np.append(np.clip(own, 0, len(text)), len(text)).astype(np.int64))
                     ids, first, last = token_spans(text, folder)
                     owner, crossing = allotted(first, last, ends, rule)
                     n = len(ends)
-                    out.append((np.full(n, doc_id), np.arange(n), np.concatenate([[0], ends[:-1]]), ends, np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n), np.full(n, len(ids))))
+                    ids_of += [doc_id] * n
+                    out.append((np.arange(n), np.concatenate([[0], ends[:-1]]), ends, np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n), np.full(n, len(ids))))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=list(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_of, pa.int64()), *[pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)]], names=list(names))
 
     return run
 
@@ -72,7 +73,7 @@ def section_tokens(docs: DataFrame, sections: DataFrame | None = None, rule: str
 
     sections (doc_id, stop): the ends of each document's sections; none: its lines. Sections cover the text, so a document's n_tokens sum
     up to doc_tokens. Null texts are empty and have one empty section; documents without a row in sections are taken by lines. Repeated ends
-    count once. Repeated rows of docs each give their sections; other columns don't matter; an empty table gives no rows.
+    count once. A null doc_id stays null and is taken by lines. Repeated rows of docs each give their sections; other columns don't matter; an empty table gives no rows.
     """
     plain = docs.select("doc_id", text_column())
     if sections is not None:
