@@ -2,13 +2,16 @@
 
 Text-bearing blocks (paragraphs) pass points for their length and commas to their parent and, halved, to the parent's parent; a container's
 points are discounted by its link density. The best container is the article; siblings that score near it, or that are long paragraphs
-without links, are kept with it. Elements whose tag or name says that they are no article (menus, notices, comments, ...) are out from the start.
+without links, are kept with it. Elements whose tag or name says that they are no article (menus, notices, comments, ...) are out from the start; so is
+a form, unless it holds an article, main or h1 element, as where one form wraps a whole page: then its fields alone are out. All steps walk
+the page without recursion and look at each part of it once, so neither depth nor tags left open slow a task down.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,20 +20,25 @@ from pyspark.sql import DataFrame
 from .shared import releasing
 
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z_:][-\w:.]*)")
 _BLANK = re.compile(r"\s+")
 #: Fixed values of HTML: elements without content, with raw content, that end a paragraph, and that don't break a line of text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_HIDDEN = frozenset("script style noscript iframe template svg math canvas object embed head title textarea select option button input form nav footer aside header dialog menu audio video map".split())
+_HIDDEN = frozenset("script style noscript iframe template svg math canvas object embed head title textarea select option button input nav footer aside header dialog menu audio video map".split())
 #: Parts of class, id and role values that say an element is no article.
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|commentlist|cookies?|consent|disqus|dialog|footer|footnav|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|"
     r"recommend\w*|related\w*|replies|reply|respond|search|share\w*|shar(?:e|ing)|sidebar\w*|signup|skip|social\w*|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|widgets?|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
 _KEEP = re.compile(r"(?:^|[\s_-])(?:article|body|content|main|post|entry|story|text)(?:$|[\s_-])", re.I)
 _MAIN = frozenset(("html", "body", "main", "article"))
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Elements whose points go to the one around them, and items with the elements that hold them.
+_HELD = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption".split())
+_ITEMS = (("li", ("ul", "ol")), ("dt", ("dl",)), ("dd", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table")))
 #: Points of a paragraph, of its commas and of its length.
 PARAGRAPH, CHARS_A_POINT, MOST_LENGTH_POINTS = 1.0, 100, 3
 #: Share of the best score from which a sibling is kept, and from which characters a paragraph beside it; most links in either.
@@ -38,15 +46,21 @@ SIBLING, LONG, LINKS = 0.2, 80, 0.25
 
 
 class Node:
-    __slots__ = ("children", "links", "own", "parent", "points", "tag", "text")
+    """An element. block: the element itself or the nearest one around it that breaks lines; within: whether it lies in an article or main element; form: the form around it."""
+
+    __slots__ = ("block", "children", "form", "links", "parent", "points", "tag", "text", "within", "wrapper")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
-        self.text = self.links = self.own = 0  # characters: below, below and in links, in the node's own line of text
+        self.text = self.links = 0  # characters below, and in links
+        self.block = self if tag not in _INLINE or parent is None else parent.block
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
+        self.form = self if tag == "form" else parent.form if parent else None
+        self.wrapper = False  # of a form: it holds an article, and so a page
 
 
 def _noise(tag: str, attributes: str, here: Node) -> bool:
-    if tag in _HIDDEN and not (tag == "header" and any(n in ("article", "main") for n in _open(here))):  # an article's header has its title
+    if tag in _HIDDEN and not (tag == "header" and here.within):  # an article's header has its title
         return True
     if not attributes or tag in _MAIN:
         return False
@@ -59,159 +73,211 @@ def _noise(tag: str, attributes: str, here: Node) -> bool:
     return False
 
 
-def tree(page: str) -> Node:
-    """The elements that may be article, as a tree with strings between them; whatever tags are left open or closed in vain."""
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name (empty: a comment or declaration), whether it closes, attributes of each tag; send a place to go on from there.
+
+    Quotes in a tag protect its end as long as they come in pairs; from the first tag on where they don't, its end is the nearest. A tag without end is text.
+    """
+    at, last, paired = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = yield start, len(page) if end < 0 else end + 3, "", False, ""
+            at = len(page) if end < 0 else end + 3
+            continue
+        if start > last:
+            return
+        name = _NAME.match(page, start)
+        if not name:
+            if page.startswith(("<!", "<?"), start):
+                end = page.index(">", start) + 1
+                yield start, end, "", False, ""
+                at = end
+            else:
+                at = start + 1
+            continue
+        end = _INSIDE.match(page, name.end()).end() if paired else -1
+        if paired and not page.startswith(">", end):
+            paired = False
+        if not paired:
+            end = page.index(">", name.end())
+        at = (yield start, end + 1, name[1].lower(), page[start + 1] == "/", page[name.end() : end]) or end + 1
+
+
+def tree(page: str) -> list[Node]:
+    """The elements that may be article, as a tree with strings between them, in page order (a parent before its children); whatever tags are left open or closed in vain."""
     root = here = Node("#root", None)
-    at, size, out = 0, len(page), 0  # out: open elements of the part that is no article
-    skipping: list[str] = []
-    links = 0
-    for match in iter(lambda: _TOKEN.search(page, at), None):
-        if match.start() > at and not skipping:
-            here.children.append((html.unescape(page[at : match.start()]), links > 0))
-        at = match.end()
-        tag = (match[2] or "").lower()
+    nodes, opened = [root], Counter(("#root",))
+    at = links = 0
+    skipping: list[str] = []  # open elements of the part that is no article
+
+    def close(node: Node) -> Node:
+        """The place behind an element and all that is left open in it."""
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+        if node.parent:
+            opened[node.tag] -= 1
+        return node.parent or node
+
+    def closing(tag: str) -> Node:
+        node: Node | None = here if opened[tag] else None
+        while node and node.tag != tag:
+            if tag in _INLINE and node.tag not in _INLINE:
+                return here
+            node = node.parent
+        return close(node) if node else here
+
+    def before_block() -> Node:
+        """A block ends an open paragraph, with the inline elements left open in it."""
+        return close(here.block) if here.block.tag in _PARAGRAPHS else here
+
+    def before(tag: str, stop: tuple[str, ...]) -> Node:
+        """An item ends the one before it in the same list or table."""
+        node: Node | None = here if opened[tag] else None
+        while node and node.tag not in stop:
+            if node.tag == tag:
+                return close(node)
+            node = node.parent
+        return here
+
+    def raw_end(tag: str, start: int) -> int:
+        found = re.compile(f"</{tag}", re.I).search(page, start)
+        return found.start() if found else len(page)
+
+    tags = _tags(page)
+    found = next(tags, None)
+    while found:
+        start, end, tag, closes, attributes = found
+        jump = None
+        if start > at and not skipping:
+            here.children.append((html.unescape(page[at:start]), links > 0))
+        at = end
         if not tag:
-            continue
-        if skipping:
-            if match[1]:
+            pass
+        elif skipping:
+            if closes:
                 if tag in skipping:
                     while skipping.pop() != tag:
                         pass
-                elif tag in _MAIN and tag != "article" or (tag == "article" and any(n == "article" for n in _open(here))):
+                elif tag in _MAIN and (tag != "article" or opened["article"]):
                     skipping.clear()  # an element left open ends with the one around it
-                    here = _closed(here, tag)
+                    here = closing(tag)
             elif tag in _RAW:
-                end = re.compile(f"</{tag}", re.I).search(page, at)
-                at = end.start() if end else size
+                at = jump = raw_end(tag, at)
                 skipping.append(tag)
-            elif tag not in _VOID and not (match[3] or "").endswith("/"):
-                if tag == "p" and skipping[-1] == "p" or tag == "li" and skipping[-1] == "li":
+            elif tag not in _VOID and not attributes.endswith("/"):
+                if tag in ("p", "li") and skipping[-1] == tag:
                     skipping.pop()
                 skipping.append(tag)
-            continue
-        if match[1]:
+        elif closes:
             links -= tag == "a" and links > 0
-            here = _closed(here, tag)
-            continue
-        if tag == "br":
-            here.children.append((" ", False))
-        if tag in _VOID:
-            if tag == "hr":
+            here = closing(tag)
+        elif tag in _VOID:
+            if tag == "br":
+                here.children.append((" ", False))
+            elif tag == "hr":
                 here.children.append(Node("hr", here))
-            continue
-        if _noise(tag, match[3], here) and not (match[3] or "").endswith("/"):
+        elif _noise(tag, attributes, here) and not attributes.endswith("/"):
             if tag not in _INLINE:
-                here = _without_paragraph(here)
+                here = before_block()
                 here.children.append(Node("hr", here))
             skipping.append(tag)
             if tag in _RAW:
-                end = re.compile(f"</{tag}", re.I).search(page, at)
-                at = end.start() if end else size
-            continue
-        if tag not in _INLINE:
-            here, links = _without_paragraph(here), 0
-            for own, stop in (("li", ("ul", "ol")), ("dt", ("dl",)), ("dd", ("dl",)), ("tr", ("table",)), ("td", ("tr", "table")), ("th", ("tr", "table"))):
-                if tag == own or (tag in ("dt", "dd") and own in ("dt", "dd")):
-                    here = _ended(here, own, stop)
-        links += tag == "a"
-        here.children.append(node := Node(tag, here))
-        here = node
-    if at < size and not skipping:
+                at = jump = raw_end(tag, at)
+        else:
+            if tag not in _INLINE:
+                here, links = before_block(), 0
+                for own, stop in _ITEMS:
+                    if tag == own or (tag in ("dt", "dd") and own in ("dt", "dd")):
+                        here = before(own, stop)
+            links += tag == "a"
+            here.children.append(node := Node(tag, here))
+            if tag in ("article", "main", "h1") and node.form:
+                node.form.wrapper = True
+            nodes.append(node)
+            opened[tag] += 1
+            here = node
+        found = _sent(tags, jump)
+    if at < len(page) and not skipping:
         here.children.append((html.unescape(page[at:]), links > 0))
-    return root
-
+    return nodes
 
-def _open(node: Node | None) -> Iterator[str]:
-    while node:
-        yield node.tag
-        node = node.parent
 
+def _sent(tags: Iterator, jump: int | None):
+    try:
+        return tags.send(jump)
+    except StopIteration:
+        return None
 
-def _closed(here: Node, tag: str) -> Node:
-    node: Node | None = here
-    while node and node.tag != tag:
-        if tag in _INLINE and node.tag not in _INLINE:
-            return here
-        node = node.parent
-    return (node.parent or node) if node else here
 
-
-def _without_paragraph(here: Node) -> Node:
-    """A block ends an open paragraph, with the inline elements left open in it."""
-    node: Node | None = here
-    while node and (node.tag in _INLINE or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
-        if node.tag not in _INLINE:
-            return node.parent or node
-        node = node.parent
-    return here
-
-
-def _ended(here: Node, tag: str, stop: tuple[str, ...]) -> Node:
-    node: Node | None = here
-    while node and node.tag not in stop and node.tag != "#root":
-        if node.tag == tag:
-            return node.parent or node
-        node = node.parent
-    return here
-
-
-def _lines(node: Node, out: list[tuple[Node, str, int]]) -> None:
-    """The blocks of text below a node in page order: the block element they stand in, the text, characters in links."""
+def _lines(root: Node) -> list[tuple[Node, str, int]]:
+    """The blocks of text in page order: the block element they stand in, the text, characters in links. Forms that are no page are passed over."""
+    out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
+    stack: list[tuple[Node, Iterator]] = [(root, iter(root.children))]
+    owner = root  # whose line is being read
 
     def end() -> None:
         nonlocal linked
         text = _BLANK.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((node, text, min(linked, len(text))))
+            out.append((owner, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
-    stack = [iter(node.children)]
-    while stack:  # inline elements belong to the line of the block around them
-        child = next(stack[-1], None)
+    while stack:
+        node, children = stack[-1]
+        child = next(children, None)
         if child is None:
             stack.pop()
+            if node is owner or not _runs_on(node):
+                end()
+                owner = _owner(stack)
         elif isinstance(child, tuple):
             parts.append(child[0])
             linked += len(child[0].strip()) if child[1] else 0
-        elif child.tag in _INLINE:
-            if any(isinstance(x, Node) and x.tag not in _INLINE for x in child.children):
-                end()
-                _lines(child, out)
-            else:
-                stack.append(iter(child.children))
-        else:
+        elif child.tag == "form" and not child.wrapper:
             end()
-            _lines(child, out)
-    end()
+        else:
+            if not _runs_on(child):  # inline elements without blocks in them belong to the line around them
+                end()
+                owner = child
+            stack.append((child, iter(child.children)))
+    return out
+
+
+def _runs_on(node: Node) -> bool:
+    return node.tag in _INLINE and not any(isinstance(x, Node) and x.tag not in _INLINE for x in node.children)
+
+
+def _owner(stack: list[tuple[Node, Iterator]]) -> Node:
+    return next((node for node, _ in reversed(stack) if not _runs_on(node)), stack[0][0]) if stack else Node("#root", None)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page as blocks joined by two line ends; empty if there is none."""
     if not page:
         return ""
-    root = tree(page)
-    lines: list[tuple[Node, str, int]] = []
-    _lines(root, lines)
+    nodes = tree(page)
+    lines = _lines(nodes[0])
     if not lines:
         return ""
     scored: dict[int, Node] = {}
     for node, text, linked in lines:
-        above: Node | None = node
-        while above:
-            above.text, above.links = above.text + len(text), above.links + linked
-            above = above.parent
-        node.own += len(text)
+        node.text, node.links = node.text + len(text), node.links + linked
         points = (PARAGRAPH + sum(text.count(c) for c in ",，、") + min(len(text) // CHARS_A_POINT, MOST_LENGTH_POINTS)) * (1 - linked / len(text))
-        holder = node.parent if node.tag in ("p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption") else node
+        holder = node.parent if node.tag in _HELD else node
         for share in (1.0, 0.5):
             if holder is None:
                 break
             holder.points += points * share
             scored[id(holder)] = holder
             holder = holder.parent
+    for node in reversed(nodes[1:]):
+        node.parent.text, node.parent.links = node.parent.text + node.text, node.parent.links + node.links
     value = lambda n: n.points * (1 - n.links / n.text if n.text else 0)
     best = max(scored.values(), key=lambda n: (value(n), n.tag in _MAIN))
     around: Node | None = best
@@ -225,13 +291,15 @@ def main_text(page: str | None) -> str:
             if value(sibling) >= SIBLING * value(best) or (sibling.tag == "p" and sibling.text >= LONG) or heading:
                 kept.add(id(sibling))
     article = id(best) if best.tag not in ("#root", "html", "body") else None  # its lists and links are its own; a whole page's may be menus
+    place: dict[int, tuple[int | None, bool]] = {}  # of each element: the kept one around it, and whether a menu lies between
+    for node in nodes:
+        above = place[id(node.parent)] if node.parent else (None, False)
+        own = node.tag in ("ul", "ol", "table", "dl") and node.links > 0.5 * node.text
+        place[id(node)] = (id(node), False) if id(node) in kept else (above[0], above[1] or own)
     out = []
     for node, text, linked in lines:
-        above, menu = node, False
-        while above and id(above) not in kept:
-            menu = menu or (above.tag in ("ul", "ol", "table", "dl") and above.links > 0.5 * above.text)
-            above = above.parent
-        if above and (id(above) == article or not menu and not (linked == len(text) and node.tag in ("div", "li") and len(text) < LONG)):
+        above, menu = place[id(node)]
+        if above == article is not None or (above is not None and not menu and not (linked == len(text) and node.tag in ("div", "li") and len(text) < LONG)):
             out.append(text)
     return "\n\n".join(out)
 
