@@ -1,12 +1,14 @@
 """Audio columns: lossless 8-bit samples in WAVE form, polyphase resampling, overlapped log-mel filterbanks, energy segments.
 
 A clip is a multiple of BLOCK samples. Resampling by UP / DOWN turns a block into STEPS hops, so every block has a feature tensor of one
-fixed shape, (STEPS, MELS); together with its time span it is a row of the tensor column.
+fixed shape, (STEPS, MELS); together with its time span it is a row of an Arrow table with a fixed-shape tensor column. Each clip's table is
+stored as an Arrow stream beside the time spans of its energy segments.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -125,49 +127,72 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", text_column()).mapInArrow(releasing(_stored), "doc_id long, n_bytes long, media binary"), "media")
 
 
-def _described(tensors: bool):
-    hop_ms = 1000 * HOP * DOWN / UP / RATE
+def as_tensors(mel: np.ndarray) -> pa.Table:
+    """The blocks of a clip: start_ms, stop_ms, tensor (a fixed-shape Arrow tensor of (STEPS, MELS) float32)."""
+    blocks = np.ascontiguousarray(mel, np.float32).reshape(-1, STEPS, MELS)
+    start = np.arange(len(blocks)) * 1000.0 * BLOCK / RATE
+    return pa.table({"start_ms": start, "stop_ms": start + 1000.0 * BLOCK / RATE, "tensor": pa.FixedShapeTensorArray.from_numpy_ndarray(blocks)})
+
+
+def packed_tensors(mel: np.ndarray) -> bytes:
+    """The blocks of a clip as an Arrow stream."""
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, (table := as_tensors(mel)).schema) as out:
+        out.write_table(table)
+    return sink.getvalue()
+
+
+def unpacked_tensors(stream: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stream).read_all()
+
+
+def mel_of(stream: bytes) -> np.ndarray:
+    """(hops, MELS) of a clip, from its stored tensors."""
+    return np.concatenate([x.to_numpy_ndarray() for x in unpacked_tensors(stream).column("tensor").chunks]).reshape(-1, MELS)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                rows = []
-                for media in part.column("media").to_pylist():
-                    _, payload = samples(media)
-                    mel = log_mel(resampled((np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128))
-                    spans = segments(mel)
-                    mean, spread = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
-                    text = f"blocks={len(mel) // STEPS};segments={len(spans)};voiced={int((spans[:, 1] - spans[:, 0]).sum())};mean=" + ",".join(f"{v:.2f}" for v in mean) + ";std=" + ",".join(f"{v:.2f}" for v in spread)
-                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), text)
-                    rows.append(row + ((mel.tobytes(), [{"start_ms": float(a * hop_ms), "stop_ms": float(b * hop_ms)} for a, b in spans]) if tensors else ()))
-                columns = [pa.array(x) for x in zip(*rows, strict=True)]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["tensors", "spans"] * tensors
-                if tensors:
-                    columns[-1] = pa.array([r[-1] for r in rows], pa.list_(pa.struct([("start_ms", pa.float64()), ("stop_ms", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
-
-    return run
-
-
-def audio_features(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored clips, read back from them.
-
-    tensors: also the float32 feature tensors of all blocks, one after the other (tensor_column gives them their Arrow type), and the time
-    spans of energy segments. A null or empty text is one block of padding. Equal clips get equal values: a clip is computed by itself.
-    Damaged media raise an error. Repeated rows stay; other columns don't matter; an empty table gives no rows.
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hop_ms = 1000 * HOP * DOWN / UP / RATE
+    span = pa.list_(pa.struct([("start_ms", pa.float64()), ("stop_ms", pa.float64())]))
+    types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "tensors": pa.binary(), "spans": span}
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
+            rows = []
+            for media in part.column("media").to_pylist():
+                _, payload = samples(media)
+                mel = log_mel(resampled((np.frombuffer(payload, np.uint8).astype(np.float64) - 128) / 128))
+                spans = [{"start_ms": float(a * hop_ms), "stop_ms": float(b * hop_ms)} for a, b in segments(mel)]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), packed_tensors(mel), spans))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *types])
+
+
+def stored_features(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensors, spans of stored clips, read back from them; a written table.
+
+    tensors: an Arrow stream of the clip's blocks, each a fixed-shape tensor (STEPS, MELS) of log-mel energies with its time span; spans: the
+    time spans of energy segments. A null or empty text is one block of padding. Equal clips get equal values: a clip is computed by itself.
+    A null doc_id stays null. Damaged media raise an error. Repeated rows stay; other columns don't matter; an empty table gives no rows.
     """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, spans array<struct<start_ms: double, stop_ms: double>>"
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(releasing(_featured), schema), "features")
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hop_ms = 1000 * HOP * DOWN / UP / RATE
+    for batch in batches:
+        texts = []
+        for stream, spans in zip(batch.column("tensors"), batch.column("spans").to_pylist(), strict=True):
+            mel = mel_of(stream.as_py()).astype(np.float64)
+            voiced = round(sum(s["stop_ms"] - s["start_ms"] for s in spans) / hop_ms)
+            mean, spread = mel.mean(axis=0), mel.std(axis=0)
+            texts.append(f"blocks={len(mel) // STEPS};segments={len(spans)};voiced={voiced};mean=" + ",".join(f"{v:.2f}" for v in mean) + ";std=" + ",".join(f"{v:.2f}" for v in spread))
+        kept = [name for name in batch.schema.names if name not in ("tensors", "spans")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in kept], pa.array(texts, pa.string())], names=[*kept, "feature"])
+
+
+def audio_features(features: DataFrame) -> DataFrame:
+    """The columns of stored_features with feature, a text made of the stored tensors and spans, in their place."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    more = ", tensors binary, spans array<struct<start_ms: double, stop_ms: double>>" if tensors else ""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(releasing(_described(tensors)), schema + more)
-
-
-def tensor_column(tensors: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """The blocks of a `tensors` column as a fixed-shape tensor array of (STEPS, MELS), the row each comes from, and its first millisecond."""
-    flat = [np.frombuffer(x, "<f4") for x in tensors.to_pylist()]
-    n = [len(x) // (STEPS * MELS) for x in flat]
-    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.float32))
-    storage = pa.FixedSizeListArray.from_arrays(values, STEPS * MELS)
-    kind = pa.fixed_shape_tensor(pa.float32(), (STEPS, MELS))
-    start = np.concatenate([np.arange(k) for k in n]) * 1000.0 * BLOCK / RATE if n else np.zeros(0)
-    return pa.ExtensionArray.from_storage(kind, storage), pa.array(np.repeat(np.arange(len(n)), n)), pa.array(start)
+    return features.mapInArrow(releasing(_described), schema)

@@ -47,9 +47,9 @@ def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and features of all documents stored as audio."""
-    from .audio import audio_features, stored_media
+    from .audio import audio_features, stored_features, stored_media
 
-    return audio_features(stored_media(table(spark, sf_dir, "documents")), tensors=False)
+    return audio_features(stored_features(stored_media(table(spark, sf_dir, "documents"))))
 
 
 def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
