@@ -1,21 +1,29 @@
 """Mixture-controlled packing of documents into token windows by deficit round-robin over source queues.
 
 Every source is a queue of its documents' tokens. A window of WINDOW tokens gives each source a quantum in proportion to its target share;
-what rounding keeps from a source is its deficit, carried to the next window. With the targets fixed, the sum of a source's grants after k
-windows has a closed form: floor(k * WINDOW * cumulated share) differences. So each document knows from its place in its queue, a
-distributed prefix sum, in which windows its tokens go, and deficits carry over windows and partitions without any task waiting for another.
-Documents are cut freely; the tokens behind the last full window fill sequences whose lengths are powers of two, which need no padding.
+what rounding keeps from a source is its deficit, carried to the next window. Once a queue runs dry, those that are left share the windows in
+proportion to their targets. Between two such moments the grants of the first k windows have a closed form: the tokens due to the first j
+queues together, rounded down, less those of the first j - 1. So each document knows from its place in its queue, a distributed prefix
+sum, in which windows its tokens go, and deficits carry over windows and partitions without any task waiting for another.
+
+A queue to which a window owes less than a token can't be in each one: all such sources together are one queue, the first (whose grants,
+rounded alone, never fall). Documents are cut freely; the tokens behind the last full window fill sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate
+from math import ceil, lcm
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +35,8 @@ WINDOW = 1024
 END_ID = 0
 #: Rows (one for each task and source) up to which the queues' places are broadcast; more are joined by a shuffle.
 SMALL = 100_000
+#: The queue of all sources that are too small for one of their own, or that no target names.
+REST = "r"
 
 
 def _encoded(folder: str | None):
@@ -47,34 +57,91 @@ def _encoded(folder: str | None):
     return run
 
 
-def _window_of(token: int, low: int, high: int, total: int) -> int:
-    """The window that the token-th token of a source goes to: the first k whose k + 1 windows grant more than `token` tokens.
+@dataclass(frozen=True)
+class Phase:
+    """From token `begin` of the packed stream until the next phase, the first queues together are due done + weight * (token - dry) / all tokens.
 
-    After k windows the source has had floor(k * WINDOW * high / total) - floor(k * WINDOW * low / total) tokens.
+    done and weight: a pair each, of the queues ahead and of these with the own one; done: the tokens of those among them that have run dry,
+    weight: the weights of the others. dry: the tokens of all dry queues, all: the weights of all others.
     """
-    k = token * total // (WINDOW * (high - low))
-    while k and (k * WINDOW * high // total) - (k * WINDOW * low // total) > token:
-        k -= 1
-    while ((k + 1) * WINDOW * high // total) - ((k + 1) * WINDOW * low // total) <= token:
-        k += 1
-    return k
-
 
-def _cut(doc_id: int, source: str | None, packed: bytes, first: int, low: int, high: int, total: int) -> Iterator[tuple]:
-    """The pieces of a document; low and high bound its source's tokens among all `total`, first is its place in the queue."""
+    begin: int
+    done: tuple[int, int]
+    weight: tuple[int, int]
+    dry: int
+    all: int
+
+
+@dataclass(frozen=True)
+class Queue:
+    """A queue's phases, the tokens of the queues ahead and of these with it, and of all."""
+
+    phases: tuple[Phase, ...]
+    low: int
+    high: int
+    total: int
+
+    def granted(self, k: int) -> tuple[int, int]:
+        """The tokens that the queues ahead have, and they and the queue itself, in the first k windows."""
+        at = k * WINDOW
+        p = self.phases[bisect_right(self.phases, at, key=lambda x: x.begin) - 1] if len(self.phases) > 1 else self.phases[0]
+        return p.done[0] + p.weight[0] * (at - p.dry) // p.all, p.done[1] + p.weight[1] * (at - p.dry) // p.all
+
+    def own(self, k: int) -> int:
+        ahead, then = self.granted(k)
+        return then - ahead
+
+    def window_of(self, token: int) -> int:
+        """The window that the token-th token goes to: the first k whose k + 1 windows grant more than `token` tokens; behind them, the number of full windows."""
+        full = self.total // WINDOW
+        if len(self.phases) > 1:
+            return bisect_right(range(1, full + 1), token, key=self.own)
+        k = min(full, token * self.total // (WINDOW * (self.high - self.low)))
+        while k and self.own(k) > token:
+            k -= 1
+        while k < full and self.own(k + 1) <= token:
+            k += 1
+        return k
+
+
+def plan(tokens: dict[str, int], weights: dict[str, Fraction]) -> dict[str, Queue]:
+    """The queues, REST first, from their numbers of tokens and their target weights. One of weight 0 gets its turn when the others have run dry."""
+    names = sorted((n for n in tokens if tokens[n]), key=lambda n: (n != REST, n))
+    scale = lcm(*(Fraction(weights[n]).denominator for n in names))
+    weight = {n: int(weights[n] * scale) for n in names}
+    total, active, begin = sum(tokens.values()), set(names), Fraction(0)
+    phases: dict[str, list[Phase]] = {n: [] for n in names}
+    while active:
+        now = {n: weight[n] if n in active else 0 for n in names} if any(weight[n] for n in active) else {n: int(n in active) for n in names}
+        dry, whole = total - sum(tokens[n] for n in active), sum(now.values())
+        done = due = 0
+        for n in names:
+            ahead = done, due
+            done, due = done + (0 if n in active else tokens[n]), due + now[n]
+            phases[n].append(Phase(ceil(begin), (ahead[0], done), (ahead[1], due), dry, whole))
+        # every weighted queue has had its weight times the same number, so the one with the fewest tokens for its weight runs dry next
+        least = min(Fraction(tokens[n], now[n]) for n in active if now[n])
+        begin = dry + whole * least
+        active -= {n for n in active if now[n] and Fraction(tokens[n], now[n]) == least}
+    ends = list(accumulate(tokens[n] for n in names))
+    return {n: Queue(tuple(phases[n]), high - tokens[n], high, total) for n, high in zip(names, ends, strict=True)}
+
+
+def _cut(doc_id: int, source: str | None, packed: bytes, first: int, queue: Queue) -> Iterator[tuple]:
+    """The pieces of a document; first is its place in the queue."""
     ids = np.frombuffer(packed, np.uint16).astype("<u4")
-    full, start = total // WINDOW, 0
-    k = _window_of(first, low, high, total)
+    full, start = queue.total // WINDOW, 0
+    k = queue.window_of(first)
     while start < len(ids):
-        ahead, ahead_then = k * WINDOW * low // total, (k + 1) * WINDOW * low // total  # granted to the sources ahead, before and after window k
-        own, own_then = k * WINDOW * high // total - ahead, (k + 1) * WINDOW * high // total - ahead_then
         at = first + start
+        ahead, had = queue.granted(k)
         if k < full:
-            sequence, offset, left = k, ahead_then - ahead + at - own, own_then - at
+            ahead_then, had_then = queue.granted(k + 1)
+            sequence, offset, left = k, ahead_then - ahead + at - (had - ahead), had_then - ahead_then - at
         else:  # behind the last full window lies what is left of each queue, cut into powers of two
-            offset, left, sequence = low - ahead + at - own, high - low - at, full
+            offset, left, sequence = queue.low - ahead + at - (had - ahead), queue.high - queue.low - at, full
             for bit in range(WINDOW.bit_length() - 2, -1, -1):
-                if (total - full * WINDOW) >> bit & 1:
+                if (queue.total - full * WINDOW) >> bit & 1:
                     if offset < 1 << bit:
                         left = min(left, (1 << bit) - offset)
                         break
@@ -87,36 +154,65 @@ def _cut(doc_id: int, source: str | None, packed: bytes, first: int, low: int, h
             k += 1
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(queues: dict[str, Queue]):
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
     schema = pa.schema([(k, pa.string() if k == "source" else pa.int64()) for k in names])
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            rows = zip(*[part.column(k).to_pylist() for k in ("doc_id", "source", "ids", "first", "low", "high", "total")], strict=True)
-            cut = list(zip(*[piece for row in rows for piece in _cut(*row)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cut, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                rows = zip(*[part.column(k).to_pylist() for k in ("doc_id", "source", "ids", "first", "queue")], strict=True)
+                cut = list(zip(*[piece for *row, queue in rows for piece in _cut(*row, queues[queue])], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cut, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _queues(held: DataFrame, targets: dict[str | None, float] | None) -> dict[str, Queue]:
+    """The plan: a queue for each target, or else for each source that a window owes a token at least; the others are one, REST."""
+    totals = held.groupBy("key").agg(F.sum("tokens").alias("tokens"))
+    total = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if targets is None:
+        own = {r.key: r.tokens for r in totals.where(F.col("tokens") * WINDOW >= total).collect()}  # WINDOW rows at most
+        weights = {n: Fraction(t) for n, t in own.items()}
+        weights[REST] = Fraction(total - sum(own.values()))
+    else:
+        shares = {"n" if k is None else f"s{k}": Fraction(str(v)) for k, v in targets.items()}
+        if any(v * WINDOW < 1 for v in shares.values()) or sum(shares.values()) > 1:
+            raise ValueError("targets are shares of 1 / WINDOW at least that add up to 1 at most")
+        own = {r.key: r.tokens for r in totals.where(F.col("key").isin(list(shares))).collect()}
+        weights = shares | {REST: 1 - sum(shares.values())}
+    return plan(own | {REST: total - sum(own.values())}, weights)
 
 
-def packed_sequences(docs: DataFrame, source: str = "source", folder: str | None = None) -> DataFrame:
+def packed_sequences(docs: DataFrame, source: str = "source", folder: str | None = None, targets: dict[str | None, float] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source: a row for each piece of a document.
 
-    A document is its token ids and END_ID. The target share of a source is its share of all tokens, so all queues run dry together and
-    each window holds it to within a token. Null texts are empty: one piece of one id. A null source is a queue of its own. Ties need no
-    rule: the order within a queue is that of the written table. Repeated doc_ids are packed each; an empty table gives no rows.
+    A document is its token ids and END_ID. targets: the share of the tokens of each window that a source shall have; sources without one
+    share what is left to 1 (nothing left: they come when all others have run dry). Once a source runs dry, the others share the windows in proportion to their
+    targets, so all documents are packed. Without targets a source's share is that of all tokens, so all queues run dry together and each
+    window holds it to within a token; sources with less than a token a window are one queue. Null texts are empty: one piece of one id. A null source
+    is a source of its own, a null doc_id stays null. Ties need no rule: the order within a queue is that of the written table. Repeated doc_ids are
+    packed each; other columns don't matter; an empty table gives no rows.
     """
     plain = docs.select("doc_id", F.col(source).cast("string").alias("source"), text_column())
     ids = written(plain.mapInArrow(releasing(_encoded(folder)), "doc_id long, source string, part int, inside long, doc_tokens long, ids binary"), "ids")
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    held = ids.select("part", key.alias("queue"), "doc_tokens").groupBy("part", "queue").agg(F.sum("doc_tokens").alias("tokens"))
-    before = held.withColumn("earlier", F.sum("tokens").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    queues = held.groupBy("queue").agg(F.sum("tokens").alias("all"))
-    ahead = Window.orderBy("queue")  # one row a source
-    shares = queues.select("queue", (F.sum("all").over(ahead) - F.col("all")).alias("low"), F.sum("all").over(ahead).alias("high"), F.sum("all").over(Window.partitionBy(F.lit(1))).alias("total"))
-    places = before.join(shares, "queue").select("part", "queue", F.coalesce("earlier", F.lit(0)).alias("earlier"), "low", "high", "total")
-    places = written(places, "places")
-    if places.count() <= SMALL:
+    held = written(ids.groupBy("part", _key(F.col("source")).alias("key")).agg(F.sum("doc_tokens").alias("tokens")), "held")
+    queues = _queues(held, targets)
+    queue = F.when(F.col("key").isin([n for n in queues if n != REST]), F.col("key")).otherwise(REST) if queues.keys() - {REST} else F.lit(REST)
+    of_part = held.withColumn("queue", queue)
+    inside = Window.partitionBy("part", "queue").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    parts = of_part.groupBy("queue", "part").agg(F.sum("tokens").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    ahead = of_part.withColumn("ahead", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).drop("tokens")
+    places = written(ahead.join(parts, ["queue", "part"]).select("part", "key", "queue", (F.col("earlier") + F.col("ahead")).alias("place")), "places")
+    if places.limit(SMALL + 1).count() <= SMALL:
         places = F.broadcast(places)
-    placed = ids.withColumn("queue", key).join(places, ["part", "queue"])
-    cut = placed.select("doc_id", "source", "ids", (F.col("earlier") + F.col("inside")).alias("first"), "low", "high", "total")
-    return cut.mapInArrow(releasing(_pieces), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    placed = ids.withColumn("key", _key(F.col("source"))).join(places, ["part", "key"])
+    cut = placed.select("doc_id", "source", "ids", (F.col("place") + F.col("inside")).alias("first"), "queue")
+    return cut.mapInArrow(releasing(_pieces(queues)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
