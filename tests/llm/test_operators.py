@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from examlake.llm.attribution import allotted, section_tokens, token_spans
-from examlake.llm.audio import BLOCK, MELS, STEPS, audio_features, samples, stored_media, tensor_column, wave
+from examlake.llm.audio import BLOCK, MELS, STEPS, audio_features, mel_of, samples, stored_features, stored_media, unpacked_tensors, wave
 from examlake.llm.components import components
 from examlake.llm.ctw import held_out, scored
 from examlake.llm.decontamination import contaminated
@@ -22,7 +22,7 @@ from examlake.llm.packing import packed_sequences
 from examlake.llm.shared import as_bytes, written
 from examlake.llm.suffixes import repeated_strings
 from examlake.llm.toxicity import Letters, clear, increasing, readings, restored, tokens, toxicity
-from examlake.llm.warc import owned_records, read_archives, record, write_archives
+from examlake.llm.warc import owned_records, read_archives, reading_tasks, record, write_archives
 
 SYLLABLES = "th an er on re in ti es en at ed ha ou ing ion".split()
 
@@ -83,6 +83,24 @@ def test_near_duplicates_match_brute_force(docs):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    """Pairs with a similarity from 0.75 to 0.8: all links are found, not only 0.9 of them; just below, none is made."""
+    rng = random.Random(21)
+    rows, expected = [], {}
+    for k in range(150):
+        words = sentence(rng, 120).split()
+        other = list(words)
+        while len(shingles_of(" ".join(words)) & shingles_of(" ".join(other))) >= 0.8 * len(shingles_of(" ".join(words)) | shingles_of(" ".join(other))):
+            at = rng.randrange(0, len(words))
+            other[at] += "q"
+        a, b = shingles_of(" ".join(words)), shingles_of(" ".join(other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        expected[2 * k + 1] = 2 * k if 100 * len(a & b) >= 75 * len(a | b) else 2 * k + 1
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, c in expected.items() if c != i]
+    assert len(linked) > 100 and all(got[i] == c for i, c in expected.items())
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
@@ -106,24 +124,42 @@ def test_components_of_paths_and_loops(spark):
     assert got == {i: 0 for i in range(21)} | {30: 30, 31: 30, 38: 38, 39: 38, 40: 38}
 
 
-def test_repeated_strings_match_brute_force(docs):
-    df, rows = docs
-    seen, expected = set(), {}
-    for i, text, *_ in sorted(rows):
+def repeats_by_brute_force(rows, width=100):
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         raw = (text or "").encode()
         gone = bytearray(len(raw))
-        for k in range(len(raw) - 99):
-            if raw[k : k + 100] in seen:
-                gone[k : k + 100] = b"\1" * 100
-            seen.add(raw[k : k + 100])
+        for k in range(len(raw) - width + 1):
+            if raw[k : k + width] in seen:
+                gone[k : k + width] = b"\1" * width
+            seen.add(raw[k : k + width])
         rest = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
-        expected[i] = (len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_strings(df).collect()}
+        out[i] = (len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot": 5}, {"hot": 1, "chunks_a_part": 1}])
+def test_repeated_strings_match_brute_force(spark, limits):
+    rng = random.Random(9)
+    shared, tail = sentence(rng, 25)[:95], "x" * 70 + sentence(rng, 20)
+    rows = [*corpus(), *[(1000 + k, sentence(rng, 5) + " " + shared + " " + sentence(rng, 1) + (tail if k % 3 == 0 else "")) for k in range(40)], (None, sentence(rng, 40) + tail)]
+    expected = repeats_by_brute_force(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **limits).collect()}
     assert got == expected
     assert sum(x[1] for x in expected.values()) > 1000
 
 
-def test_context_tree_weighting_matches_brute_force(docs):
+def test_string_ranks_are_byte_order():
+    from examlake.llm.suffixes import string_ranks
+
+    raw = bytes(random.Random(4).choices(b"ab", k=400)) + b"abab" * 60
+    starts = np.arange(len(raw) - 99)
+    strings = [raw[i : i + 100] for i in starts]
+    assert string_ranks(np.frombuffer(raw, np.uint8), starts).tolist() == [sorted(set(strings)).index(x) for x in strings]
+
+
+@pytest.mark.parametrize("limits", [{}, {"strings_a_task": 500, "merged_at_once": 2}])
+def test_context_tree_weighting_matches_brute_force(docs, limits):
     df, rows = docs
     depth = 5
     tokens = {i: [w + b" " for w in words_of(t)] + [b"\n"] for i, t, *_ in rows}
@@ -154,7 +190,7 @@ def test_context_tree_weighting_matches_brute_force(docs):
                 weighted[k] = np.logaddexp(kt[k], split) - math.log(2) if d < depth else kt[k]
                 weight[k] = math.exp(kt[k] - math.log(2) - weighted[k]) if d < depth else 1.0
     total, distinct = sum(counts.values()), len(counts)
-    for r in scored(df).collect():
+    for r in scored(df.repartition(9), **limits).collect():
         w, log10 = tokens[r.doc_id], 0.0
         for context, decision, bit in bits(b"".join(w)):
             p = None
@@ -203,6 +239,78 @@ def test_packing_is_whole_gapless_and_in_proportion(docs):
             assert all(abs(held[s] - 1024 * n / everything) < 2 for s, n in shares.items())
 
 
+def test_packing_to_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 60), "abc"[i % 3]) for i in range(120)] + [(500 + i, "x", f"rare{i}") for i in range(5)] + [(None, sentence(rng, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packed_sequences(docs, targets={"a": 0.5, "b": 0.25}).collect()
+    total, size = Counter(), Counter()
+    for p in pieces:
+        total[p.source] += p.length
+        size[p.sequence_id] += p.length
+    held = defaultdict(Counter)
+    for p in pieces:
+        held[p.sequence_id]["rest" if p.source not in ("a", "b") else p.source] += p.length
+    ends = 2 * total["a"] // 1024  # until then no source has run dry
+    assert ends > 3 and all(abs(held[k][s] - 1024 * share) < 2 for k in range(ends) for s, share in (("a", 0.5), ("b", 0.25), ("rest", 0.25)))
+    full = sum(size.values()) // 1024
+    assert all(size[k] == 1024 for k in range(full)) and all(abs(held[k]["b"] - 512) < 2 for k in range(ends + 1, full) if held[k]["a"] == 0 and min(held[k]["b"], held[k]["rest"]) > 0 and k + 4 < full)
+    assert {p.doc_id for p in pieces} == {r[0] for r in rows} and len({(p.doc_id, p.start) for p in pieces}) == len(pieces)
+    with pytest.raises(ValueError, match="targets"):
+        packed_sequences(docs, targets={"a": 0.9, "b": 0.2})
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plans_leave_no_gap(seed):
+    from fractions import Fraction
+
+    from examlake.llm import packing
+
+    rng = random.Random(seed)
+    tokens = {f"s{i}": rng.choice([1, rng.randint(1, 100), rng.randint(1, 20_000)]) for i in range(rng.randint(1, 7))}
+    parts = [rng.randint(1, 50) for _ in tokens]
+    share = {n: Fraction(x, sum(parts) + seed % 3) for n, x in zip(tokens, parts, strict=True)}
+    tokens[packing.REST] = rng.choice([0, 1, 5000])
+    total, sequences, got = sum(tokens.values()), defaultdict(list), Counter()
+    for name, queue in packing.plan(tokens, share | {packing.REST: 1 - sum(share.values())}).items():
+        at = 0
+        while at < tokens[name]:
+            size = min(rng.randint(1, 3000), tokens[name] - at)
+            for _, _, length, _, _, sequence, offset, _ in packing._cut(1, name, np.zeros(size, np.uint16).tobytes(), at, queue):
+                sequences[sequence].append((offset, length))
+                got[name] += length
+            at += size
+    assert got == Counter({n: t for n, t in tokens.items() if t})
+    for sequence, pieces in sequences.items():
+        pieces.sort()
+        size = sum(n for _, n in pieces)
+        assert [o for o, _ in pieces] == list(np.cumsum([0, *[n for _, n in pieces]])[:-1]) and size & (size - 1) == 0 and (size == 1024 if sequence < total // 1024 else size < 1024)
+
+
+def test_section_tokens_match_offsets(spark):
+    """Each section's tokens from the tokenizer's own offsets, by both rules."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    rows = [(i, "\n".join(sentence(rng, rng.randint(0, 9)) for _ in range(6)) + rng.choice(["", "é ñ", "漢字 x", "\n"])) for i in range(20)] + [(None, "a b\nc d"), (90, "")]
+    cuts = [(i, c) for i in range(0, 20, 2) for c in (3, 7, 8, 11, 30)]
+    docs, sections = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(cuts, "doc_id long, stop int")
+    for rule in ("most", "first"):
+        expected = {}
+        for i, text in rows:
+            ends = [c for d, c in cuts if d == i and c < len(text)] + [len(text)] if i is not None and i < 20 and i % 2 == 0 else ([m.end() for m in re.finditer("[^\n]*\n|[^\n]+", text)] or [0])
+            starts, n = [0, *ends[:-1]], [0] * len(ends)
+            for a, b in tokenizer.encode(text, add_special_tokens=False).offsets:
+                inside = [min(b, e) - max(a, s) for s, e in zip(starts, ends, strict=True)]
+                n[max(range(len(ends)), key=lambda k: (inside[k], -k)) if rule == "most" else next(k for k, e in enumerate(ends) if a < e)] += 1
+            for k, e in enumerate(ends):
+                expected[i, k] = (starts[k], e, n[k])
+        got = {(r.doc_id, r.section): (r.start, r.stop, r.n_tokens) for r in section_tokens(docs, sections, rule).collect()}
+        assert got == expected
+
+
 def test_section_tokens_add_up(docs, spark):
     df, rows = docs
     got = section_tokens(df).collect()
@@ -227,18 +335,51 @@ def test_boundary_tokens_go_to_the_larger_part():
 
 def test_audio_round_trip(docs):
     df, rows = docs
-    got = audio_features(stored_media(df)).toPandas()
+    stored = stored_features(stored_media(df)).cache()
+    got = {r.doc_id: r for r in audio_features(stored).collect()}
     text = {i: (t or "").encode() for i, t, *_ in rows}
-    for r in got.itertuples():
-        payload = text[r.doc_id] + b"\xff" * (-len(text[r.doc_id]) % BLOCK or (0 if text[r.doc_id] else BLOCK))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert samples(wave(payload))[1] == payload and r.media_sha256 == hashlib.sha256(wave(payload)).hexdigest()
-        assert len(r.tensors) == len(payload) // BLOCK * STEPS * MELS * 4
-    assert got.groupby("payload_sha256").feature.nunique().max() == 1
-    import pyarrow as pa
-
-    tensors, row, start = tensor_column(pa.array(got.tensors.tolist()))
-    assert tensors.type.shape == [STEPS, MELS] and len(tensors) == len(row) == len(start) == got.payload_bytes.sum() // BLOCK
+    assert set(got) == set(text)
+    for i, r in got.items():
+        payload = text[i] + b"\xff" * (-len(text[i]) % BLOCK or (0 if text[i] else BLOCK))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[i]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert samples(wave(payload))[1] == payload and r.media_sha256 == hashlib.sha256(wave(payload)).hexdigest() and f"blocks={len(payload) // BLOCK};" in r.feature
+    by_payload = defaultdict(set)
+    for r in got.values():
+        by_payload[r.payload_sha256].add(r.feature)
+    assert max(map(len, by_payload.values())) == 1
+    for r in stored.collect():
+        blocks = unpacked_tensors(r.tensors)
+        assert blocks.schema.field("tensor").type.shape == [STEPS, MELS] and blocks.num_rows == r.payload_bytes // BLOCK
+        assert blocks.column("start_ms").to_pylist() == [36.0 * k for k in range(blocks.num_rows)] and blocks.column("stop_ms")[-1].as_py() == 36.0 * blocks.num_rows
+
+
+def test_audio_features_by_definition(spark):
+    """Resampling as zero-stuffing, filtering and decimation; log-mel by a plain discrete Fourier transform."""
+    from examlake.llm.audio import DOWN, FRAME, HOP, RATE, TAPS, UP, _phases, resampled
+
+    text = sentence(random.Random(8), 250)
+    (row,) = stored_features(stored_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    raw = text.encode() + b"\xff" * (-len(text) % BLOCK)
+    x = (np.frombuffer(raw, np.uint8) - 128.0) / 128
+    stuffed = np.zeros(len(x) * UP)
+    stuffed[::UP] = x
+    taps = np.zeros(UP * TAPS)
+    for phase in range(UP):  # tap j of a phase weighs the input j - TAPS / 2 places from the output's
+        taps[phase::UP] = _phases()[phase][::-1]
+    full = np.convolve(stuffed, taps)
+    y = resampled(x)
+    at = np.arange(0, len(x) * UP, DOWN)
+    assert np.allclose(y, full[at + UP * (TAPS - TAPS // 2 - 1)], atol=1e-9)
+    rate, n = RATE * UP / DOWN, np.arange(FRAME)
+    transform = np.exp(-2j * np.pi * np.outer(np.arange(FRAME // 2 + 1), n) / FRAME)
+    edge = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * math.log10(1 + rate / 2 / 700), MELS + 2)]
+    padded, mel = np.concatenate([y, np.zeros(FRAME)]), mel_of(row.tensors)
+    for hop in (0, 3, len(mel) - 1):
+        power = np.abs(transform @ (padded[hop * HOP : hop * HOP + FRAME] * (0.5 - 0.5 * np.cos(2 * np.pi * n / (FRAME - 1))))) ** 2
+        for m in range(MELS):
+            low, mid, high = edge[m : m + 3]
+            weights = [max(0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f in np.arange(FRAME // 2 + 1) * rate / FRAME]
+            assert mel[hop, m] == pytest.approx(10 * math.log10(float(power @ weights) + 1e-9), abs=1e-3)
 
 
 def test_resampled_tone_keeps_its_pitch():
@@ -273,6 +414,36 @@ def test_pages_fetched_again_keep_each_payload(spark):
     assert sorted(bytes(r.payload) for r in got if r.record_type == "response") == [b"A", b"B", b"C"]
 
 
+def test_archives_match_brute_force(spark):
+    from base64 import b32encode
+
+    rng = random.Random(5)
+    payloads = ["", None, "a", "b" * 3000, "é", *[sentence(rng, 9) for _ in range(20)]]
+    rows = [(i, f"u{i}", rng.choice(payloads)) for i in rng.sample(range(1000), 300)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").repartition(4)
+    archives = write_archives(pages)
+    first = {}
+    for i, _, text in sorted(rows, key=lambda r: r[0]):
+        first.setdefault(text or "", i)
+    expected = {i: (len((t or "").encode()), b32encode(hashlib.sha1((t or "").encode()).digest()).decode(), "response" if first[t or ""] == i else "revisit", None if first[t or ""] == i else first[t or ""]) for i, _, t in rows}
+    read = read_archives(archives, split_bytes=200)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read.collect()} == expected and read.count() == 300
+    assert reading_tasks(archives, 200) == 4 * spark.sparkContext.defaultParallelism == read.rdd.getNumPartitions()
+
+
+def test_reader_passes_over_other_records(tmp_path, spark):
+    import zlib as z
+
+    def member(kind, more="", block=b"x"):
+        packer = z.compressobj(6, z.DEFLATED, 31)
+        return packer.compress(f"WARC/1.1\r\nWARC-Type: {kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n") + packer.flush()
+
+    raw = member("warcinfo") + member("response", "WARC-Record-ID: <urn:uuid:1-2>\r\n", b"HTTP/1.1 200 OK\r\n\r\nhello") + member("request") + record(3, "u", b"p", None)
+    (tmp_path / "b.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/b.warc.gz", len(raw))], "path string, size long")
+    assert sorted((r.page_id or 0, r.payload_bytes, bytes(r.payload)) for r in read_archives(archives).collect()) == [(0, 5, b"hello"), (3, 1, b"p")]
+
+
 def test_reader_owns_each_record_once_for_any_split(tmp_path):
     rng = random.Random(2)
     raw = b"junk\x1f\x8b\x08junk" + b"".join(record(i, f"u{i}", os.urandom(rng.randint(0, 3000)), None) for i in range(20)) + b"\x1f\x8b"
@@ -309,6 +480,41 @@ def test_lattice_decoding():
     assert [restored(x, model) for x in ("1d10t", "l.o.s.e.r", "heellllo", "7r@5h", "loser", "")] == ["idiot", "loser", "hello", "trash", "loser", ""]
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    from examlake.llm import toxicity as t
+
+    model = Letters(Letters.of(Counter({"idiot": 50, "loser": 20, "ill": 9})))
+
+    def paths(signs, state, score, letters):
+        if not signs:
+            yield score + model.step(state, " "), letters
+            return
+        sign, rest = signs[0], signs[1:]
+        if sign in t.UNSEEN:
+            yield from paths(rest, state, score, letters)
+            return
+        arcs = [(sign, 0.0), *((x, t.RESEMBLES) for x in t.FOREIGN.get(sign, ""))] if sign.isalpha() else [(x, t.RESEMBLES) for x in t.LOOKALIKES.get(sign, "")] + [(sign, t.STANDS)] * (sign not in t.SEPARATORS)
+        for letter, cost in arcs:
+            yield from paths(rest, state[1] + letter, score + cost + model.step(state, letter), letters + letter)
+            if letter == state[1]:
+                yield from paths(rest, state, score + cost + t.REPEATS, letters)
+        if sign in t.SEPARATORS:
+            yield from paths(rest, state, score + t.SEPARATES, letters)
+
+    rng = random.Random(2)
+    for _ in range(60):
+        token = "".join(rng.choice("idiot1!|.-0l7\u0456\u200b") for _ in range(rng.randint(1, 7)))
+        score, letters = t._decoded(token, model)
+        best = max(paths(token, "  ", 0.0, ""))
+        assert score == pytest.approx(best[0]) and any(x == letters and s == pytest.approx(score) for s, x in paths(token, "  ", 0.0, ""))
+
+
+def test_letters_of_other_scripts():
+    model = Letters(Letters.of(Counter({w: 50 for w in ("idiot", "stupid")})))
+    assert "stupid" in readings("\u0455tu\u0440id", model) and "idiot" in readings("i\u200bd\u0336iot", model)
+    assert "stupid" in tokens("\uff33\uff34\uff35\uff30\uff29\uff24 x") and readings("\u0430\u0442\u0430\u043a\u0430", model) == {"\u0430\u0442\u0430\u043a\u0430"}
+
+
 def test_tokens_with_several_readings():
     model = Letters(Letters.of(Counter({w: 50 for w in ("idiot", "stupid", "trash", "moron", "clown", "you", "hag")})))
     written_so = {"stuupid": "stupid", "trrash": "trash", "mooron": "moron", "!diot": "idiot", "|diot,": "idiot", "(lown": "clown", "idiot!": "idiot", "h a g": "hag", "a$$": "ass"}
@@ -343,6 +549,34 @@ def test_main_text_keeps_parts_of_the_article():
     assert main_text(page).split("\n\n") == ["Title", "A paragraph, long enough, with commas, to be the article of this page.", "cell", "other", "A caption", "x = 1", "First reference", "Second reference", "One link"]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_main_text_of_made_pages(seed):
+    """Pages put together from an article that is known and parts that are none, with and without an article element."""
+    rng = random.Random(seed)
+    around, inside = rng.choice([("<article>", "</article>"), ('<div class="post-body">', "</div>"), ("<main><div>", "</div></main>"), ("<div><section>", "</section></div>")]), []
+    body = ""
+    for _ in range(rng.randint(4, 9)):
+        text = sentence(rng, rng.randint(25, 60)) + ", so it is, and more"
+        kind = rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<figure><figcaption>{}</figcaption></figure>"])
+        body, inside = body + kind.format(text.replace(", so", ",&nbsp; so")), [*inside, text]
+    noise = ["<nav><ul>" + "".join(f"<li><a href='/{w}'>{w}</a>" for w in sentence(rng, 6).split()) + "</ul></nav>", f"<aside><p>{sentence(rng, 20)}</p></aside>", f"<form><p>{sentence(rng, 9)}</p><input></form>",
+             f"<div class='comments'><p>{sentence(rng, 40)}</p></div>", f"<script>if (a < b) '{sentence(rng, 5)}'</script>", f"<div id='cookie-notice'>{sentence(rng, 12)}</div>", "<!-- <p>no</p> -->", f"<footer>{sentence(rng, 8)}</footer>"]
+    rng.shuffle(noise)
+    page = "<html><body>" + "".join(noise[:4]) + around[0] + body + around[1] + "".join(noise[4:]) + "</body></html>"
+    assert main_text(page).split("\n\n") == [re.sub(r"\s+", " ", x) for x in inside]
+
+
+def test_pages_deep_or_left_open_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 10_000 + "x" + "</div>" * 10_000, "".join(f"<div>t{i}" for i in range(10_000)), "<b>" * 10_000 + "<div>y</div>" * 3000, "<a " * 300_000, '<a href="x> ' * 80_001, "<p title='it\">ok " * 50_000, "<!" * 400_000, "<div>" * 5000 + "</i></em></x>" * 20_000):
+        main_text(page)
+    assert time.time() - began < 20
+    wrapped = "<body><form><div><article><h1>T</h1><p>One, two, and three.</p><input name=q><button>Go</button></article></div></form>"
+    assert main_text(wrapped) == "T\n\nOne, two, and three."
+
+
 def test_extracted_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = extracted(pages).collect()
