@@ -97,3 +97,88 @@ def slug(name: Column | str, fallback: str = "paper") -> Column:
 def masked(secret: Column | str) -> Column:
     column = F.col(secret) if isinstance(secret, str) else secret
     return F.concat(F.lit("******"), F.right(column, F.lit(4)))
+
+
+#: Figures and signs with their raised forms.
+RAISED = ("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ")
+
+
+def raised(text: Column | str) -> Column:
+    """With figures, signs and n as superscripts."""
+    return F.translate(F.col(text) if isinstance(text, str) else text, *RAISED)
+
+
+def safe_name(name: Column | str) -> Column:
+    """Up to ten letters, digits and Chinese characters of a name; u where nothing is left."""
+    column = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(column, "[^A-Za-z0-9一-鿿]+", ""), F.lit(10)), F.lit("")), F.lit("u"))
+
+
+def picture_name(seq: str = "seq", unit: str = "unit", no: str = "no", prefix: str = "q") -> Column:
+    """The file of a question's picture: q for itself, m for its material."""
+    return F.format_string(f"{prefix}_%03d_%s_%d.png", F.col(seq), safe_name(unit), F.col(no))
+
+
+def table_row(cells: Column | str) -> Column:
+    """Cells as one line between bars; line ends become spaces, bars full-width bars."""
+    column = F.col(cells) if isinstance(cells, str) else cells
+    return F.concat(F.lit("|"), F.array_join(F.transform(column, lambda c: stripped(F.translate(c, "\n|", " ｜"))), "|"), F.lit("|"))
+
+
+def table_cells(line: Column | str) -> Column:
+    """The cells of such a line; null for any other."""
+    column = F.col(line) if isinstance(line, str) else line
+    inside = F.substring(column, F.lit(2), F.length(column) - 2)
+    return F.when((F.length(column) >= 2) & column.startswith("|") & column.endswith("|"), F.split(inside, r"\|", -1))
+
+
+def spans_of_cells(rows: Column | str) -> Column:
+    """Of a table (array of rows of cells), row by row: text, colspan and rowspan of each cell; > is merged into the cell to its left, ^ into the one above."""
+    table = F.col(rows) if isinstance(rows, str) else rows
+    run = lambda marks, sign: F.size(F.aggregate(marks, F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("run")), lambda s, c: F.struct((s["on"] & (c == sign)).alias("on"), F.when(s["on"] & (c == sign), F.array_append(s["run"], c)).otherwise(s["run"]).alias("run")))["run"])
+
+    def cell(row: Column, r: Column, c: Column, k: Column) -> Column:
+        below = F.transform(F.filter(table, lambda _, i: i > r), lambda x: F.coalesce(F.get(x, k), F.lit("")))
+        return F.struct(c.alias("text"), (run(F.filter(row, lambda _, i: i > k), ">") + 1).alias("colspan"), (run(below, "^") + 1).alias("rowspan"), k.alias("at"))
+
+    def own(row: Column, r: Column) -> Column:
+        return F.filter(F.transform(row, lambda c, k: cell(row, r, c, k)), lambda x: ~x["text"].isin(">", "^"))
+
+    return F.transform(table, own)
+
+
+def is_answered(values: Column | str) -> Column:
+    """Whether any value is more than white space."""
+    return F.coalesce(F.exists(F.col(values) if isinstance(values, str) else values, lambda v: stripped(v) != ""), F.lit(False))
+
+
+def escaped(text: Column | str) -> Column:
+    """For HTML: & first, then the signs that it would turn into."""
+    column = F.col(text) if isinstance(text, str) else text
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        column = F.replace(column, F.lit(sign), F.lit(entity))
+    return column
+
+
+def paper_title(given: str, parsed: str, fallback: Column) -> Column:
+    """The given title, else the parsed one, else a fallback; 80 characters at most."""
+    pick = F.coalesce(*[F.nullif(stripped(c), F.lit("")) for c in (given, parsed)], fallback)
+    return F.left(stripped(pick), F.lit(80))
+
+
+def time_id(at: Column | str, prefix: Column | None = None) -> Column:
+    """An id from a moment, which is a parameter and not the clock."""
+    stamp = F.date_format(at, "yyyyMMdd-HHmmss")
+    return stamp if prefix is None else F.concat_ws("-", stamp, prefix)
+
+
+def quantised_box(x: str, y: str, height: str) -> Column:
+    """A picture's place in steps of five, halves to even."""
+    return F.concat(F.lit("IMG@"), F.concat_ws(":", *[F.bround(F.col(c) / 5).cast("long").cast("string") for c in (x, y, height)]))
+
+
+def utf16_text(content: Column | str) -> Column:
+    """Little-endian two-byte text, as older Word files hold it: of fields (between 0x13 and 0x15) the result behind 0x14 alone, 0x1E as a hyphen, no control characters."""
+    text = F.decode(F.col(content) if isinstance(content, str) else content, "UTF-16LE")
+    shown = F.regexp_replace(text, r"\x13[^\x14\x15]*(?:\x14|\x15)", "")
+    return stripped(F.regexp_replace(F.regexp_replace(shown, r"\x1E", "-"), r"[\x00-\x08\x0B-\x1F]", ""))

@@ -1,17 +1,12 @@
-"""Page layout: repeated headers and watermarks, page numbers, separators, rows of boxes."""
+"""Page layout: repeated headers and watermarks, page numbers, separators."""
 
 from __future__ import annotations
 
-from typing import TYPE_CHECKING
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 LEAST_PAGES, SHARE, LEAST_LENGTH, FRAGMENT = 3, 0.5, 4, 3
 TOP, BOTTOM = 0.07, 0.92
 #: Letters and digits of any script are what punctuation is not; how page numbers are written.
@@ -37,33 +32,3 @@ def without_furniture(lines: DataFrame) -> DataFrame:
     edge = (F.col("y") < F.col("page_height") * TOP) | (F.col("y") > F.col("page_height") * BOTTOM)
     separator = F.col("norm").rlike(PUNCTUATION) & (F.length("norm") >= 6)
     return out.where(~separator).where(~(edge & F.col("text").rlike(PAGE_NUMBER))).drop("norm")
-
-
-def boxes_to_rows(boxes: DataFrame) -> DataFrame:
-    """boxes (paper_id, page, text, x0, y0, x1, y1) with row_no: boxes of one printed row share it, from the top.
-
-    Boxes are taken by their centre height; one joins the last row if it lies within half of the larger height of that row's mean centre.
-    The fold runs for each page alone, which bounds a group by what a page can hold.
-    """
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(centre=(pdf["y0"] + pdf["y1"]) / 2, height=pdf["y1"] - pdf["y0"]).sort_values(["centre", "x0"], kind="stable").reset_index(drop=True)
-        numbers, centres, tallest = [], [], 0.0
-        for centre, height in zip(pdf["centre"], pdf["height"], strict=True):
-            if centres and abs(centre - sum(centres) / len(centres)) <= max(height, tallest) / 2:
-                centres.append(centre)
-                tallest = max(tallest, height)
-                numbers.append(numbers[-1])
-            else:
-                numbers.append(numbers[-1] + 1 if numbers else 0)
-                centres, tallest = [centre], height
-        return pdf.assign(row_no=numbers)[["paper_id", "page", "row_no", "text", "x0", "y0", "x1", "y1"]]
-
-    schema = f"paper_id {dict(boxes.dtypes)['paper_id']}, page int, row_no int, text string, x0 double, y0 double, x1 double, y1 double"
-    return boxes.select("paper_id", F.col("page").cast("int").alias("page"), "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).groupBy("paper_id", "page").applyInPandas(rows, schema)
-
-
-def row_texts(rows: DataFrame) -> DataFrame:
-    """paper_id, page, row_no, text, x, y, height: the boxes of each row from left to right, joined by spaces."""
-    in_order = F.array_sort(F.collect_list(F.struct("x0", "text")))
-    return rows.groupBy("paper_id", "page", "row_no").agg(F.array_join(F.transform(in_order, lambda b: b["text"]), " ").alias("text"), F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("y1") - F.min("y0")).alias("height"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import display_label, ends_sentence, masked, question_key, section_type, slug, weighted_length
 from ..operators.layout import repeated_strings, without_furniture
 from ..operators.reports import answer_summary, attempt_listing, exported_paper, exported_summary, latest_answers, paper_listing, paper_units, unanswered
-from ..operators.segmentation import parsed_questions
 from ..operators.validation import validated
 from ..sources.text import text_lines
 from . import bridges as B
+from . import typeset
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,19 +99,6 @@ def question_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("paper_id", "chunk").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
 
 
-def parsed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segmentation end to end: a paper for each order, typeset from its lines as text, scanned, parsed and counted again.
-
-    Each order gives a section, its questions numbered from 1, four options each and an answer line; what comes out must be what went in.
-    """
-    typeset = F.concat(F.col("n").cast("string"), F.lit(". 零件 "), F.col("stem"), F.lit(" 的数量是多少？\nA. 一 B. 二\nC. 三 D. 四\n答案：B"))
-    rows = B.questions(spark, sf_dir).select("paper_id", "seq", F.col("seq").alias("n"), F.when(F.col("stem") == "", "无名").otherwise(F.col("stem")).alias("stem"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", typeset.alias("t")))), lambda x: x["t"]), "\n")
-    papers = rows.groupBy("paper_id").agg(F.concat(F.lit("一、单项选择题\n"), body).alias("text"))
-    found = parsed_questions(text_lines(papers))
-    return found.groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "single").alias("n_single"), F.sum(F.size("options")).alias("n_options"), F.max("no").alias("last"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of all papers after validation."""
     return listing(spark, sf_dir)
@@ -119,8 +106,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (document_lines, text_functions, full_line_width, repeated_headers, body_lines, validation_verdict, validation_by_issue, listing, units, summary, attempts, unanswered_labels, summary_sheet, paper_sheet, keys_and_labels, question_chunks, parsed_papers)
-}
+    for f in (document_lines, text_functions, full_line_width, repeated_headers, body_lines, validation_verdict, validation_by_issue, listing, units, summary, attempts, unanswered_labels, summary_sheet, paper_sheet, keys_and_labels, question_chunks)
+} | typeset.QUERIES
 
 _WIDTH = r"round(length(regexp_replace(text, '[\x{0}-\x{2E80}]', '', 'g')) + length(regexp_replace(text, '[^\x{0}-\x{2E80}]', '', 'g')) * 0.55, 2)"
 ORACLE_SQL: dict[str, str] = {
@@ -145,6 +132,5 @@ ORACLE_SQL: dict[str, str] = {
     "paper_sheet": f"""WITH {B.QUESTIONS} SELECT paper_id, seq, unit, no, CASE type WHEN 'single' THEN '单选' WHEN 'multi' THEN '多选' WHEN 'judge' THEN '判断' WHEN 'blank' THEN '填空' ELSE '简答' END AS type, stem,
         {', '.join(f"coalesce(options[{i + 1}], '') AS {x}" for i, x in enumerate('ABCDEFG'))}, blanks FROM questions""",
     "keys_and_labels": f"WITH {B.QUESTIONS} SELECT paper_id, unit || '|' || no AS key, CASE WHEN unit <> '' THEN unit || '-' ELSE '' END || no AS label, count(*) AS n FROM questions GROUP BY ALL HAVING count(*) > 1",
-    "parsed_papers": "SELECT l_orderkey AS paper_id, count(*) AS n, count(*) AS n_single, count(*) * 4 AS n_options, CAST(count(*) AS INTEGER) AS last FROM lineitem GROUP BY 1",
     "question_chunks": f"WITH {B.QUESTIONS} SELECT paper_id, CAST((seq - 1) // 20 AS INTEGER) AS chunk, min(seq) AS first, count(*) AS n FROM questions GROUP BY 1, 2",
-}
+} | typeset.ORACLE_SQL
