@@ -10,12 +10,16 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values of the format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A_BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
 EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+NAMESPACES = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+#: The first bytes of files.
+MAGIC = {"docx": b"PK\x03\x04", "doc": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "pdf": b"%PDF"}
 LEFT, ABOVE = ">", "^"
 BLANK, BLANKS = "____", re.compile(r"[_＿]{2,}")
 SCHEMA = "path string, pos int, text string, page int, y double, x double, height double, number int, blanks int, source string, is_heading boolean, image boolean, ref string, cells array<string>, error string"
@@ -137,7 +141,13 @@ def docx_lines(content: bytes) -> list[dict]:
 
 def kind_of(content: bytes) -> str | None:
     """What a file is by its first bytes: docx (a zip archive), doc (an OLE file), pdf; None otherwise."""
-    return next((kind for magic, kind in ((b"PK\x03\x04", "docx"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "doc"), (b"%PDF", "pdf")) if content[: len(magic)] == magic), None)
+    return next((kind for kind, magic in MAGIC.items() if content.startswith(magic)), None)
+
+
+def kind_column(content: str) -> Column:
+    """The same of a binary column."""
+    head = lambda n: F.hex(F.substring(F.col(content), 1, n))
+    return F.coalesce(*[F.when(head(len(magic)) == magic.hex().upper(), kind) for kind, magic in MAGIC.items()])
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
