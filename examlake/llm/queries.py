@@ -82,4 +82,22 @@ def op5_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_template_windows": op5_template_windows, "op1_tree_scoring": op1_tree_scoring, "op2_noisy_channel": op2_noisy_channel, "op9_splittable_warc": op9_splittable_warc, "op6_token_attribution": op6_token_attribution, "op7_audio_features": op7_audio_features, "op8_mixture_packing": op8_mixture_packing, "op3_context_tree": op3_context_tree, "op4_suffix_array": op4_suffix_array, "op10_superminhash": op10_superminhash}
-ORACLE_SQL: dict[str, str] = {}
+_SETS = r"""low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM low)"""
+#: 160 bits of a digest in hexadecimal, five digits at a time as four letters of base 32.
+_BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr({0}, i * 5 + 1, 5) AS INTEGER) >> b) & 31 AS BIGINT) + 1, 1)), '')), '')"
+ORACLE_SQL: dict[str, str] = {
+    "op10_superminhash": f"""WITH RECURSIVE {_SETS}, items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c) UNION ALL SELECT b, a FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+        reach(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, low FROM reach JOIN links ON a = doc_id)
+        SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(low) AS component_id, doc_id = min(low) AS kept FROM sets JOIN reach USING (doc_id) GROUP BY doc_id""",
+    "op9_splittable_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT *, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS low FROM p)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32.format("hex")} AS payload_digest, CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > low THEN low END AS refers_to FROM d""",
+    "op4_suffix_array": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+        again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        edge AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM again), run AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM run GROUP BY doc_id, r), gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+        cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)""",
+}
