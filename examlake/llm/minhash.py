@@ -27,8 +27,8 @@ SHINGLE_WORDS = 5
 REGISTERS, ROWS = 168, 6
 STRIDES = (1, 5, 11)
 BANDS = len(STRIDES) * REGISTERS // ROWS
-#: Members of a bucket that all others are compared with.
-LEADERS = 3
+#: Members of a bucket that all others are compared with, and parts in which they are looked for, as a third of all documents may share a bucket.
+LEADERS, SALTS = 3, 16
 #: Share of the union that two sets must have in common, in hundredths.
 SIMILARITY = 75
 #: Sketch bits in which a pair at similarity 0.75 differs: an eighth of the registers, 21, and never five deviations of 4.3 more.
@@ -163,6 +163,14 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where(f"common * 100 >= (na + nb - common) * {SIMILARITY}").select("a", "b")
 
 
+def _leaders(members: DataFrame) -> DataFrame:
+    """band, leaders: the LEADERS members (doc, n, bits) of each band that share most bands with others; first within parts of a band, then among theirs."""
+    order = Window.partitionBy("band", "salt").orderBy(F.desc("mates"), "doc")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).withColumn("rank", F.row_number().over(order)).where(f"rank <= {LEADERS}")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mates")).alias("less"), "doc", "n", "bits"))), 1, LEADERS)
+    return salted.groupBy("band").agg(best.alias("leaders"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document of docs (doc_id, text; other columns don't matter).
 
@@ -172,39 +180,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components, those of different components are compared, but for pairs that can't be links: what both share with the first leader, and
     what both can have in common beside it (512 marks of it tell), bounds what they share; so do, but for a chance of 1e-6, the bits in which their sketches differ. A pair is taken up in the first band that it shares only. So a group of alike
     documents costs a few comparisons a member, and no link between components is lost. Null, empty or blank texts have an empty set, link
-    with nothing and stay. Repeated doc_ids give repeated rows. Empty table: no rows.
+    with nothing and stay. Repeated doc_ids give repeated rows; one that has
+    several texts is one document to the links, which any of its texts may have. A null doc_id links with nothing, has no component and is kept.
+    Empty table: no rows.
     """
     docs = docs.select("doc_id", "text")
     known = written(signatures(docs), "signatures")
-    classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = written(classes, "classes")
     rows = classes.select("doc", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     inside = written(rows.select("doc", "n", "band").join(shared, "band"), "buckets")
     known_by = inside.groupBy("doc").agg(F.sum("members").alias("mates"))
-    order = Window.partitionBy("band").orderBy(F.desc("mates"), "doc")
     of_doc = known_by.join(classes.select("doc", "bits"), "doc")
-    members = written(inside.drop("members").join(of_doc, "doc").withColumn("rank", F.row_number().over(order)).drop("mates"), "members")
-    top = members.where(f"rank <= {LEADERS}").select("band", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("bits").alias("bits_a"))
-    pairs = members.where("rank > 1").join(top, "band").where(f"rank > ra and {_SIZES} and {_ALIKE}").select("a", F.col("doc").alias("b")).distinct()
+    members = written(inside.drop("members").join(of_doc, "doc"), "members")
+    leaders = written(_leaders(members), "leaders")
+    place = F.array_position(F.transform("leaders", lambda x: x["doc"]), F.col("doc"))  # from 1; 0: none of them
+    led = members.join(leaders, "band").select("doc", "n", "bits", place.alias("place"), F.posexplode("leaders").alias("at", "leader")).where("place = 0 or at + 1 < place")
+    led = led.select("doc", "n", "bits", F.col("leader.doc").alias("a"), F.col("leader.n").alias("na"), F.col("leader.bits").alias("bits_a"))
+    pairs = led.where(f"{_SIZES} and {_ALIKE}").select("a", F.col("doc").alias("b")).distinct()
     compared = _compared(pairs, docs)
     links = _links(compared)
     state = components(links)
     now = members.join(state.toDF("doc", "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rank").alias("most"), F.min(F.when(F.col("rank") == 1, F.struct("doc", "n"))).alias("leader")).where(f"low < high and most > {LEADERS + 1}")
-    now = now.join(mixed.select("band", F.col("leader.doc").alias("a"), F.col("leader.n").alias("leader_n")), "band").where(f"rank > {LEADERS}")
+    mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("all")).where(f"low < high and all > {LEADERS + 1}").select("band")
+    first = leaders.join(mixed, "band").select("band", "leaders", F.col("leaders")[0]["doc"].alias("a"), F.col("leaders")[0]["n"].alias("leader_n"))
+    now = now.join(first, "band").where(place == 0)
     now = now.join(compared.select("a", F.col("b").alias("doc"), "common", "marks"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
     # without a count (too different in size or by sketch), a document has its smaller size in common with the leader at most, and beside it all it has
-    now = written(now.select("band", "doc", "n", "rank", "comp", "bands", "bits", "marks", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
+    now = written(now.select("band", "doc", "n", "comp", "bands", "bits", "marks", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
     if not now.isEmpty():
-        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "rank", "comp", "bands", "bits", "marks", "within", "beside")])
+        other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "bands", "bits", "marks", "within", "beside")])
         only, only_a = ("coalesce(" + " + ".join(f"bit_count({x}[{w}] & ~{y}[{w}])" for w in range(8)) + ", 0)" for x, y in (("marks", "marks_a"), ("marks_a", "marks")))
         # at least what they have in common: a mark that one has alone stands for a shingle that the other hasn't
         least = f"least(within, within_a) + least(beside - {only}, beside_a - {only_a})"
-        may_link = f"rank > rank_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a) and {_ALIKE}"
+        may_link = f"doc > doc_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a) and {_ALIKE}"
         first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("band")
         pairs = now.join(other, "band").where(may_link).where(first).select(F.col("doc_a").alias("a"), F.col("doc").alias("b"))
         state = components(links.unionByName(_links(_compared(written(pairs, "pairs"), docs))))
     group = classes.select("digest", "doc").join(state.toDF("doc", "comp"), "doc", "left").select("digest", F.coalesce("comp", "doc").alias("comp"))
     out = known.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
