@@ -594,6 +594,166 @@ def test_pipeline_keeps_documents_without_words(spark):
     assert got.columns == COLUMNS and sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, text, len(text)), (3, "", 0), (4, "", 0), (5, " \n\t", 3), (6, "one", 3)]
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory, spark):
+    """A folder with documents that every stage has work on, and odd cases among them."""
+    rng = random.Random(31)
+    item = "when the old miller sells 12 sacks of flour for 30 coins each and buys 5 goats for 9 coins how much does the miller keep"
+    passage = sentence(rng, 70)
+    rows = [(i, sentence(rng, rng.randint(40, 90))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(0, 20, 2)] + [(200 + i, sentence(rng, 30) + " " + passage + " " + sentence(rng, 20)) for i in range(6)]
+    rows += [(300 + i, f"{sentence(rng, 20)} {item.replace('12', str(12 + i))} {sentence(rng, 20)}") for i in range(4)] + [(400 + i, " ".join(rng.sample(["stupid", "idiot", *sentence(rng, 30).split()], 32))) for i in range(12)]
+    rows += [(500, None), (501, ""), (502, " \n\t"), (503, "one"), (None, sentence(rng, 50)), (504, rows[1][1]), (505, rows[1][1]), (1, rows[1][1]), (506, " ".join(sentence(rng, 2000) for _ in range(20)))]
+    path = tmp_path_factory.mktemp("tables")
+    docs = [(i, t, None if i == 3 else "en", None if i == 5 else f"s{(i or 0) % 3}", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, COLUMNS).withColumn("predicted", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash")).write.parquet(f"file://{path}/documents.parquet")
+    labels = [(i, int("idiot" in (t or ""))) for i, t in rows if i is not None and i < 500]
+    spark.createDataFrame([*labels, (None, 1)], "doc_id long, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
+    return f"file://{path}", item
+
+
+def groups_by_brute_force(rows):
+    sets = {i: shingles_of(t) for i, t in rows if i is not None}
+    low = {i: i for i in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    return low
+
+
+def test_pipeline_stage_by_stage_matches_brute_force(spark, folder):
+    import corpus_pipeline as c
+
+    path, item = folder
+    stages = dict(c.STAGES)
+    rows = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    given = rows(docs)
+    clean = written(stages["toxicity"](spark, docs, path), "t")
+    kept = rows(clean)
+    assert clean.columns == c.COLUMNS and {i for i, t in given if (i, t) not in kept} == {i for i, t in given if "idiot" in (t or "")}
+    once = written(stages["near_duplicates"](spark, clean, path), "t")
+    low = groups_by_brute_force(kept)
+    assert sorted(rows(once), key=key) == sorted([(i, t) for i, t in kept if i is None or low[i] == i], key=key) and sum(low[i] != i for i in low) >= 10
+    kept = rows(once)
+    cut = written(stages["repeats"](spark, once, path), "t")
+    seen, expected = set(), []
+    for i, text in sorted(kept, key=key):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        rest = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode()
+        if not any(gone) or rest.strip():
+            expected.append((i, rest))
+    assert sorted(rows(cut), key=key) == sorted(expected, key=key) and sum(len(t) for _, t in expected) < sum(len(t or "") for _, t in kept) - 300
+    free = written(stages["decontamination"](spark, cut, path), "t")
+    assert sorted(rows(free), key=key) == sorted([(i, t) for i, t in expected if i is None or not 300 <= i < 304], key=key)
+    lengths = defaultdict(int)
+    for p in stages["packing"](spark, free, path).collect():
+        lengths[p.doc_id] += p.length
+    from examlake.llm.encoding import encode
+
+    total = defaultdict(int)
+    for i, t in rows(free):
+        total[i] += len(encode(t or "")) + 1
+    assert lengths == total
+    assert sum(r.length for r in c.run(spark, path).collect()) == sum(total.values())
+    assert [stage(spark, docs.where("false"), path).count() for _, stage in c.STAGES] == [0] * 5
+
+
+def template_of(text):
+    """Words with marks, and their templates, by a walk over words instead of patterns."""
+    from examlake.llm.decontamination import NAME, NUMBER, UNIT, UNITS
+
+    text = re.sub(r"\s+", " ", text or "")
+    text = re.sub(r"(?<=\d)[.,](?=\d)", "", text)
+    words, out = [], []
+    for m in re.finditer(r"[^\W_]+", text):
+        before = text[max(0, m.start() - 2) : m.start()]
+        named = len(m[0]) > 1 and m[0][0].isupper() and m[0][1].islower() and len(before) == 2 and before[1] == " " and (before[0].isalnum() or before[0] in ",;)")
+        words.append((NAME if named else "") + m[0])
+    for w in words:
+        out.append(NAME if w[0] == NAME else NUMBER if w.isdigit() else UNIT if out and out[-1] == NUMBER and w.lower() in UNITS.split() else w.lower())
+    return words, out
+
+
+def contaminated_by_brute_force(docs, items):
+    """Pairs found through windows: any one alignment, grid of alignments or whole document with enough windows and few conflicts; else the item's words in a row."""
+    from examlake.llm import decontamination as d
+
+    found = set()
+    for doc, text in docs:
+        words, template = template_of(text)
+        plain = [w.lstrip(d.NAME).lower() for w in words]
+        for item, wanted in items:
+            texts = {0: wanted} | ({1: wanted.lower()} if d.NAME in template_of(wanted)[1] else {})
+            windows = defaultdict(list)
+            for form, form_text in texts.items():
+                w, t = template_of(form_text)
+                windows[form] = [(i, w[i : i + d.WINDOW], t[i : i + d.WINDOW]) for i in range(len(t) - d.WINDOW + 1)]
+            few = lambda t: sum(x not in (d.NUMBER, d.NAME, d.UNIT) for x in t) < d.LEAST_PLAIN
+            own = [w.lstrip(d.NAME).lower() for w in template_of(wanted)[0]]
+            if own and sum(not few(t) for _, _, t in windows[0]) < d.LEAST_WINDOWS and any(plain[i : i + len(own)] == own for i in range(len(plain))):
+                found.add((doc, item))
+            w, t = (x[1 : d.WINDOW + 1] for x in template_of("x " + wanted))
+            if t and t[0] == d.NAME and len(t) == d.WINDOW:  # within a sentence, the item's first word is a name
+                windows[0].append((0, w, t))
+            for usable in ([x for x in own_windows if not few(x[2])] for own_windows in windows.values()):
+                places = defaultdict(list)
+                for i, w, t in usable:
+                    for k in range(len(template) - d.WINDOW + 1):
+                        if template[k : k + d.WINDOW] == t:
+                            for place in ((0, k - i), (1, (k - i) // d.WINDOW), (2, (k - i + d.WINDOW // 2) // d.WINDOW), (3, 0)):
+                                places[place].append((i, k, w, t))
+                for hits in places.values():
+                    values = defaultdict(set)
+                    for _, k, w, t in hits:
+                        for j in range(d.WINDOW):
+                            if t[j] in (d.NUMBER, d.NAME, d.UNIT):
+                                values[t[j], w[j].lower()].add(words[k + j].lower())
+                    if len({h[0] for h in hits}) >= min(d.LEAST_WINDOWS, len({u[0] for u in usable})) and sum(len(v) > 1 for v in values.values()) <= d.MOST_CONFLICTS * len(values):
+                        found.add((doc, item))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contamination_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names, units = ["Tom", "Anna", "Maria", "Jim"], ["kg", "km", "dollars", "apples"]
+    word = lambda: rng.choice([rng.choice(names), str(rng.randint(1, 50)), f"{rng.randint(1, 50)} {rng.choice(units)}", sentence(rng, 1), sentence(rng, 1), sentence(rng, 1), sentence(rng, 2)])
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 6, 9, 12, 25])))) for i in range(12)] + [(50, None), (51, "")]
+
+    def changed(text):
+        numbers, people = {}, {}
+        text = re.sub(r"\d+", lambda m: numbers.setdefault(m[0], str(rng.randint(1, 50)) if rng.random() < 0.8 else m[0]), text)
+        return " ".join(people.setdefault(w, rng.choice(names)) if w in names else w for w in text.split())
+
+    docs = []
+    for k in range(40):
+        parts = [sentence(rng, rng.randint(0, 15))]
+        for _ in range(rng.randint(0, 2)):
+            text = rng.choice(items)[1] or ""
+            text = rng.choice([text, changed(text), changed(text), text.lower(), " ".join(text.split()[: rng.randint(1, 12)])])
+            parts += [text, rng.choice([text, changed(text), sentence(rng, 9)])]
+        docs.append((k, " ".join(parts) if k % 9 else "\n".join(parts)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = contaminated_by_brute_force(docs, [(i, t) for i, t in items if t])
+    assert {(r.doc_id, r.item_id) for r in got} == expected and len(expected) > 10
+
+
 def test_contamination_by_templates(spark):
     item = "When Tom Baker buys 12 apples and 5 kg of pears he pays Anna exactly 40 dollars so what does Tom pay for 3 apples and will Tom then be glad"
     changed = "Intro. Now When Jim Baker buys 17 apples and 8 lb of pears he pays Mary exactly 31 euros so what does Jim pay for 6 apples and will Jim then be glad ok"
