@@ -1,4 +1,7 @@
-"""From raw documents to packed training windows: five stages, each over all that its predecessor kept."""
+"""From raw documents to packed training windows: five stages, each over all that its predecessor kept.
+
+Each takes a table with COLUMNS at least (others are left behind) and returns COLUMNS, the last one pieces. A stage over an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -18,34 +21,39 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold. The score is computed beside the row, so the texts don't travel."""
+    """Documents that score under the threshold. The score is computed beside the row, so the texts don't travel.
+
+    Null and empty texts score lowest and stay, as does everything where no label is known; each of several rows with one doc_id is judged by its own text.
+    """
     return with_scores(docs.select(COLUMNS), table(spark, sf_dir, "labels")).where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(COLUMNS)
+    """One document of each group, the one with the smallest doc_id. Documents without words and those without doc_id link with nothing and stay; rows with one doc_id stay or go together."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings that occur earlier; a document of which that leaves nothing but white space goes.
 
-    Documents without a word from the start (null, empty or blank) repeat nothing and stay; a null text is then an empty one.
+    Documents without a word from the start (null, empty or blank) repeat nothing and stay; a null text is then an empty one. Rows with one doc_id get one of
+    their languages and sources.
     """
-    beside = docs.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("source").alias("source"))
-    rest = repeated_strings(docs, texts=True).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select("doc_id", "text").join(beside, "doc_id")
+    beside = docs.groupBy(F.col("doc_id").alias("id")).agg(F.first("lang").alias("lang"), F.first("source").alias("source"))
+    rest = repeated_strings(docs, texts=True).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select("doc_id", "text")
+    rest = rest.join(beside, F.col("doc_id").eqNullSafe(F.col("id")))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. One without doc_id can't be named by the operator and stays; rows with one doc_id stay or go together."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows that hold the sources in proportion."""
+    """Pieces of all documents in windows that hold the sources in proportion; a null text is one piece of one id, an empty table has none."""
     return packed_sequences(docs)
 
 
