@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import squeezed
 
@@ -23,12 +24,16 @@ def repeated_strings(lines: DataFrame) -> DataFrame:
 
 
 def without_furniture(lines: DataFrame) -> DataFrame:
-    """lines (paper_id, page, text, y, page_height) without repeated strings and their short fragments, separators and page numbers."""
-    repeated = repeated_strings(lines)
-    out = lines.withColumn("norm", squeezed("text")).join(repeated, ["paper_id", "norm"], "left_anti")
-    short = out.where(F.length("norm") <= FRAGMENT).select("paper_id", "norm").distinct()
-    parts = short.join(repeated.withColumnRenamed("norm", "whole"), "paper_id").where("contains(whole, norm)").select("paper_id", "norm").distinct()
-    out = out.join(parts, ["paper_id", "norm"], "left_anti")
+    """lines (paper_id, page, text, y, page_height) without repeated strings and their short fragments, separators and page numbers.
+
+    All that is asked about other lines of a paper is a window, so the lines move once, to the task of their paper.
+    """
+    paper, string = Window.partitionBy("paper_id"), Window.partitionBy("paper_id", "norm")
+    out = lines.withColumn("norm", squeezed("text"))
+    out = out.withColumns({"pages": F.size(F.collect_set("page").over(paper)), "on_pages": F.size(F.collect_set("page").over(string))})
+    repeated = (F.col("pages") >= LEAST_PAGES) & (F.col("on_pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SHARE)) & (F.length("norm") >= LEAST_LENGTH) & ~F.col("norm").rlike(PUNCTUATION)
+    out = out.withColumn("repeated", repeated).withColumn("all_repeated", F.collect_set(F.when(F.col("repeated"), F.col("norm"))).over(paper))
+    fragment = (F.length("norm") <= FRAGMENT) & F.exists("all_repeated", lambda x: F.contains(x, F.col("norm")))
     edge = (F.col("y") < F.col("page_height") * TOP) | (F.col("y") > F.col("page_height") * BOTTOM)
     separator = F.col("norm").rlike(PUNCTUATION) & (F.length("norm") >= 6)
-    return out.where(~separator).where(~(edge & F.col("text").rlike(PAGE_NUMBER))).drop("norm")
+    return out.where(~F.col("repeated") & ~fragment & ~separator & ~(edge & F.col("text").rlike(PAGE_NUMBER))).select(lines.columns)

@@ -33,6 +33,8 @@ def test_query_matches_sql(spark, views, name):
     expected = views.execute(catalog.ORACLE_SQL[name])
     names = [d[0] for d in expected.description]
     assert sorted(names) == sorted(got.columns)
+    types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
+    assert {c: types[k] for c, k in got.dtypes} == {d[0]: str(d[1]) for d in expected.description}
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, expected.fetchall())
 
 
