@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grammar import POINTS
+
 #: Fixed values of the format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A_BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
@@ -77,19 +79,27 @@ def _run_text(run: ElementTree.Element) -> str:
     return "".join(pieces[e.tag.removeprefix(W)](e) for e in run if e.tag.removeprefix(W) in pieces)
 
 
+def _to_fill(run: ElementTree.Element, text: str) -> bool:
+    """Whether an underlined run is a place to write in: nothing, one sign or underscores stand on the line."""
+    line = _value(run.find(f"{W}rPr/{W}u"))
+    underlined = run.find(f"{W}rPr/{W}u") is not None and line != "none"
+    return underlined and (len(text.strip()) < 2 or not re.sub(r"[\s_＿]", "", text))
+
+
 def _paragraph_text(paragraph: ElementTree.Element) -> tuple[str, int]:
-    """Text and number of blanks: underlined runs of at most one character, or of underscores, are blanks."""
-    parts, blanks = [], 0
+    """Text and number of blanks. Neighbouring places to write in are shown as one blank but count each."""
+    shown, places = "", 0
     for run in paragraph.iter(W + "r"):
-        text, line = _run_text(run), run.find(f"{W}rPr/{W}u")
-        if line is not None and _value(line) != "none" and (len(text.strip()) <= 1 or re.fullmatch(r"[\s_＿]+", text)):
-            parts.append(BLANK)
-            blanks += 1
+        text = _run_text(run)
+        if not _to_fill(run, text):
+            shown += text
+            continue
+        places += 1
+        if not shown.rstrip().endswith(BLANK):
+            shown += BLANK
         else:
-            parts.append(text)
-    text = "".join(parts)
-    text = re.sub(rf"{BLANK}(\s*{BLANK})+", BLANK, text) if blanks else text
-    return text.strip(), max(blanks, len(BLANKS.findall(text)))
+            shown = shown.rstrip()
+    return shown.strip(), max(places, len(BLANKS.findall(shown)))
 
 
 def _cells(row: ElementTree.Element) -> list[str]:
@@ -102,40 +112,42 @@ def _cells(row: ElementTree.Element) -> list[str]:
     return out
 
 
+def _of_paragraph(element: ElementTree.Element, numbering: _Numbering, relations: dict[str | None, str | None]) -> Iterator[dict]:
+    """The pictures of a paragraph, then its lines: soft breaks end a line, number and heading are those of the first."""
+    style = _value(element.find(f"{W}pPr/{W}pStyle"))
+    text, blanks = _paragraph_text(element)
+    number, printed = numbering.next(element, style)
+    if printed and text and not re.match(rf"\d+\s*[{POINTS}]", text):
+        text = f"{number}. {text}"
+    yield from ({"image": True, "ref": relations[picture.get(EMBED)]} for picture in element.iter(A_BLIP) if picture.get(EMBED) in relations)
+    name = numbering.name(style)
+    heading = name == "Title" or name.startswith("标题") or name.lower().startswith("heading")
+    lines = [line.strip() for line in text.split("\n") if line.strip()]
+    for line in lines:
+        first = line is lines[0]
+        yield {"text": line, "number": number if first else None, "is_heading": heading and first, "blanks": blanks if len(lines) == 1 else len(BLANKS.findall(line))}
+
+
+def _of_table(element: ElementTree.Element) -> Iterator[dict]:
+    """A line for each row that has any text besides marks of merged cells."""
+    for cells in map(_cells, element.findall(W + "tr")):
+        words = [c.replace("\n", " ") for c in cells if c not in ("", LEFT, ABOVE)]
+        if words:
+            yield {"text": "  ".join(words), "cells": cells}
+
+
 def docx_lines(content: bytes) -> list[dict]:
-    """The lines of one file, in order; soft line breaks end a line, only the first line of a paragraph has its number and heading."""
+    """The lines of one file, in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = _part(archive, "word/document.xml").find(W + "body")
         numbering = _Numbering(_part(archive, "word/numbering.xml"), _part(archive, "word/styles.xml"))
         found = _part(archive, "word/_rels/document.xml.rels")
         relations = {} if found is None else {r.get("Id"): r.get("Target") for r in found}
     out: list[dict] = []
-
-    def add(**line) -> None:
-        blank = {"text": "", "number": None, "blanks": 0, "is_heading": False, "image": False, "ref": None, "cells": None}
-        out.append(blank | line | {"pos": len(out), "page": 1, "y": float(len(out)), "x": 10.0, "height": 1.0, "source": "docx"})
-
     for element in body:
-        if element.tag == W + "p":
-            style = _value(element.find(f"{W}pPr/{W}pStyle"))
-            text, blanks = _paragraph_text(element)
-            number, printed = numbering.next(element, style)
-            if printed and text and not re.match(r"\d+\s*[.．、]", text):
-                text = f"{number}. {text}"
-            for picture in element.iter(A_BLIP):
-                if picture.get(EMBED) in relations:
-                    add(image=True, ref=relations[picture.get(EMBED)])
-            name = numbering.name(style)
-            heading = name.lower().startswith("heading") or name.startswith("标题") or name == "Title"
-            pieces = [p.strip() for p in text.split("\n") if p.strip()]
-            for k, piece in enumerate(pieces):
-                add(text=piece, number=number if k == 0 else None, blanks=blanks if len(pieces) == 1 else len(BLANKS.findall(piece)), is_heading=heading and k == 0)
-        elif element.tag == W + "tbl":
-            for row in element.findall(W + "tr"):
-                cells = _cells(row)
-                full = [c.replace("\n", " ") for c in cells if c not in ("", LEFT, ABOVE)]
-                if full:
-                    add(text="  ".join(full), cells=cells)
+        for line in _of_paragraph(element, numbering, relations) if element.tag == W + "p" else _of_table(element) if element.tag == W + "tbl" else ():
+            place = {"pos": len(out), "page": 1, "y": float(len(out)), "x": 10.0, "height": 1.0, "source": "docx"}
+            out.append({"text": "", "number": None, "blanks": 0, "is_heading": False, "image": False, "ref": None, "cells": None} | line | place)
     return out
 
 
