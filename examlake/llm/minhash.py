@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import U64, Rolling, as_bytes, blocks, mix, releasing, text_column, words, written
+from .shared import U64, Rolling, as_bytes, blocks, drop_written, mix, releasing, text_column, words, written
 
 SHINGLE_WORDS = 5
 #: Registers of a signature, and how many of them make a band. Each register is in one band for each stride: that of stride s holds the
@@ -156,7 +156,9 @@ def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     counted = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("beside"))
     word = lambda w: F.aggregate(F.filter("beside", lambda h: h.bitwiseAND(7) == w), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(_one_bit(h)))
     marks = F.array(*[word(w) for w in range(8)])
-    return written(counted.select("a", "b", "na", "nb", (F.col("nb") - F.size("beside")).alias("common"), marks.alias("marks")), "compared")
+    out = written(counted.select("a", "b", "na", "nb", (F.col("nb") - F.size("beside")).alias("common"), marks.alias("marks")), "compared")
+    drop_written(sets)
+    return out
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -194,6 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known_by = inside.groupBy("doc").agg(F.sum("members").alias("mates"))
     of_doc = known_by.join(classes.select("doc", "bits"), "doc")
     members = written(inside.drop("members").join(of_doc, "doc"), "members")
+    drop_written(inside)
     leaders = written(_leaders(members), "leaders")
     place = F.array_position(F.transform("leaders", lambda x: x["doc"]), F.col("doc"))  # from 1; 0: none of them
     led = members.join(leaders, "band").select("doc", "n", "bits", place.alias("place"), F.posexplode("leaders").alias("at", "leader")).where("place = 0 or at + 1 < place")
@@ -209,6 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     now = now.join(compared.select("a", F.col("b").alias("doc"), "common", "marks"), ["a", "doc"], "left").join(classes.select("doc", "bands"), "doc")
     # without a count (too different in size or by sketch), a document has its smaller size in common with the leader at most, and beside it all it has
     now = written(now.select("band", "doc", "n", "comp", "bands", "bits", "marks", F.coalesce("common", F.least("n", "leader_n")).alias("within"), (F.col("n") - F.coalesce("common", F.lit(0))).alias("beside")), "open")
+    drop_written(members, leaders)
     if not now.isEmpty():
         other = now.select("band", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "comp", "bands", "bits", "marks", "within", "beside")])
         only, only_a = ("coalesce(" + " + ".join(f"bit_count({x}[{w}] & ~{y}[{w}])" for w in range(8)) + ", 0)" for x, y in (("marks", "marks_a"), ("marks_a", "marks")))
@@ -217,7 +221,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         may_link = f"doc > doc_a and comp <> comp_a and {100 + SIMILARITY} * ({least}) >= {SIMILARITY} * (n + n_a) and {_ALIKE}"
         first = F.array_min(F.array_intersect("bands", "bands_a")) == F.col("band")
         pairs = now.join(other, "band").where(may_link).where(first).select(F.col("doc_a").alias("a"), F.col("doc").alias("b"))
-        state = components(links.unionByName(_links(_compared(written(pairs, "pairs"), docs))))
+        pairs = written(pairs, "pairs")
+        more = _compared(pairs, docs)
+        drop_written(now, pairs)
+        state = components(links.unionByName(_links(more)))
     group = classes.select("digest", "doc").join(state.toDF("doc", "comp"), "doc", "left").select("digest", F.coalesce("comp", "doc").alias("comp"))
     out = known.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encoding import encode
-from .shared import releasing, text_column, written
+from .shared import drop_written, releasing, text_column, written
 
 WINDOW = 1024
 #: The id behind each document.
@@ -211,6 +211,7 @@ def packed_sequences(docs: DataFrame, source: str = "source", folder: str | None
     parts = of_part.groupBy("queue", "part").agg(F.sum("tokens").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
     ahead = of_part.withColumn("ahead", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).drop("tokens")
     places = written(ahead.join(parts, ["queue", "part"]).select("part", "key", "queue", (F.col("earlier") + F.col("ahead")).alias("place")), "places")
+    drop_written(held)
     if places.limit(SMALL + 1).count() <= SMALL:
         places = F.broadcast(places)
     placed = ids.withColumn("key", _key(F.col("source"))).join(places, ["part", "key"])

@@ -10,7 +10,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -39,22 +40,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The paths of the tables that written() makes meanwhile."""
+    _watching.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _watching.remove(paths)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for paths in _watching:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        drop_paths(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
 #: What tasks of this package keep in a Python worker between batches; each entry empties one such cache.
 _caches: list[Callable[[], None]] = []
 

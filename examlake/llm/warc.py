@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import releasing, shared_dir, written
+from .shared import drop_written, releasing, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a byte range, bytes that a reading task gets at most (in one or several ranges), and that it fetches at once.
@@ -171,7 +171,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     # by page and payload: a page may have several payloads
     few = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
     full = rows.join(F.broadcast(again) if few else again, ["page_id", "key"], "left").select("page_id", "url", "payload", "refers_to")
-    return written(full.mapInArrow(releasing(_written_archives(folder)), "path string, size long, records long"), "archives")
+    out = written(full.mapInArrow(releasing(_written_archives(folder)), "path string, size long, records long"), "archives")
+    drop_written(again)
+    return out
 
 
 def _read(payloads: bool):
