@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from examlake.llm.decontamination import contaminated
 from examlake.llm.minhash import near_duplicates
 from examlake.llm.packing import packed_sequences
-from examlake.llm.shared import table, written
+from examlake.llm.shared import drop_paths, table, working_tables, written
 from examlake.llm.suffixes import repeated_strings
 from examlake.llm.toxicity import with_scores
 
@@ -61,8 +61,11 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each one's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder; each one's result is written and read again, and what it worked with is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with working_tables() as paths:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_paths(spark, [*before, *paths[:-1]])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
