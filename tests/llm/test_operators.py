@@ -786,7 +786,64 @@ def test_contamination_of_items_with_few_windows(spark):
     assert {r.doc_id: r.coverage for r in got}[7] == 1
 
 
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """Texts longer than a chunk, twice, beside a null id, and columns whose names operators use themselves."""
+    rng = random.Random(77)
+    text = " ".join(sentence(rng, 5000) for _ in range(110))
+    rows = [(1, text), (2, text + " end"), (None, "a b c d e f"), (4, "x" * 1_500_000), (5, None)]
+    clash = "'x' as score, 'x' as media, 'x' as bands, 'x' as text_, 'x' as chunk, 'x' as words, 'x' as hash, 'x' as ends, 'x' as part, 'x' as predicted, 'x' as toxic, 'x' as n"
+    assert len(text) > 3 << 20
+    return written(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source", *clash.split(", ")), "long"), {i: t or "" for i, t in rows}
+
+
+@pytest.mark.parametrize("name", ["op2", "op3", "op4", "op5", "op6", "op7", "op8", "op10"])
+def test_very_long_texts(spark, long_docs, name):
+    df, text = long_docs
+    long = text[1]
+    if name == "op2":
+        got = {r.doc_id: r.predicted for r in toxicity(df, spark.createDataFrame([(1, 0), (2, 1), (4, None)], "doc_id long, toxic int")).collect()}
+        assert set(got) == set(text)
+    elif name == "op3":
+        got = {r.doc_id: r.n_tokens for r in scored(df).collect()}
+        assert got == {i: len(words_of(t)) + 1 for i, t in text.items()}
+    elif name == "op4":
+        got = {r.doc_id: (r.n_bytes, r.n_removed) for r in repeated_strings(df).collect()}
+        assert got[1][1] == 0 and got[2] == (len(long) + 4, len(long)) and got[4] == (1_500_000, 1_500_000 - 1) and got[None][1] == got[5][0] == 0
+    elif name == "op5":
+        item = " ".join(long.split()[40_000:40_030])
+        got = {(r.doc_id, r.item_id) for r in contaminated(df, spark.createDataFrame([(9, item, "x"), (None, None, "y")], "item_id long, text string, hash string")).collect()}
+        assert got == {(1, 9), (2, 9)}
+    elif name == "op6":
+        total = defaultdict(int)
+        for r in section_tokens(df).collect():
+            total[r.doc_id] += r.n_tokens
+            assert r.doc_tokens > 0 or r.doc_id == 5
+        assert set(total) == set(text) and total[2] > total[1] > 500_000
+    elif name == "op7":
+        got = {r.doc_id: (r.n_bytes, r.payload_bytes % BLOCK) for r in audio_features(stored_features(stored_media(df))).collect()}
+        assert got == {i: (len(t), 0) for i, t in text.items()}
+    elif name == "op8":
+        pieces = packed_sequences(df).collect()
+        size = Counter()
+        for p in pieces:
+            size[p.doc_id] += p.length
+        assert all(size[p.doc_id] == p.doc_tokens for p in pieces) and set(size) == set(text)
+    else:
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+        assert got[2][1:] == (1, False) and got[None] == (2, None, True) and got[4] == (1, 4, True) and got[5] == (0, 5, True) and got[1][0] > 500_000
+
+
+def test_very_long_pages(spark):
+    body = "".join(f"<p>{w}, and more of the same kind" for w in sentence(random.Random(3), 60_000).split())
+    pages = spark.createDataFrame([(1, "u", f"<article>{body}</article>"), (2, None, f"<article>{body}</article>"), (None, "v", "<p>x")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "'x' as key", "'x' as refers_to", "'x' as n_chars", "'x' as salt")
+    got = {r.page_id: r.n_chars for r in extracted(pages).collect()}
+    assert got[1] == got[2] > 2_000_000 and got[None] == 1
+    read = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in read_archives(write_archives(pages), payloads=False).collect()}
+    assert read == {1: ("response", None, len(body) + 19), 2: ("revisit", 1, len(body) + 19), None: ("response", None, 4)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
-    for run in (near_duplicates, repeated_strings, scored, packed_sequences, section_tokens, lambda d: audio_features(stored_media(d))):
+    for run in (near_duplicates, repeated_strings, scored, packed_sequences, section_tokens, lambda d: audio_features(stored_features(stored_media(d)))):
         assert run(none).count() == 0
