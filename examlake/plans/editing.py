@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import keeping as K
 from ..operators import lifecycle as L
 from ..operators import spans as S
 from ..operators.reports import answer_summary, latest_answers
 from ..sources import papers as P
+from ..sources.store import Change, scratch
 from . import bridges as B
 
 Q = B.questions
@@ -173,6 +175,25 @@ def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.listed(P.without(table, table.where("id like '%2'"), "id"), attempts)
 
 
+def kept_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers in a store: all saved as drafts, most confirmed, some of these opened again, some deleted with the attempts made at them."""
+    question = F.struct(*[F.col(c) for c in ("unit", "no", "type", "stem", "options", "blanks", "image", "issues")])
+    drafts = Q(spark, sf_dir).withColumn("issues", F.when(F.col("seq") % 2 == 0, F.array(F.lit("i"))).otherwise(F.array().cast("array<string>"))).groupBy(F.col("paper_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", question.alias("q")))), lambda x: x["q"]).alias("questions"))
+    drafts = P.from_json(P.as_json(drafts))
+    attempts = B.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), (F.col("user_id") % 500).cast("string").alias("paper_id"))
+    store = K.paper_store(spark, scratch(spark), buckets=16)
+    number, ids = F.col("id").cast("long"), B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id")).distinct()
+    K.saved(store, drafts)
+    store.change(attempts=Change(put=attempts.select("id", "paper_id", *[F.lit(None).cast(kind).alias(name) for name, kind in spark.createDataFrame([], P.ATTEMPT).dtypes if name not in ("id", "paper_id")])))
+    K.confirmed(store, ids.where(number % 3 > 0))
+    K.reopened(store, ids.where(number % 5 == 0))
+    K.deleted(store, ids.where(number % 7 == 0))
+    n = store.table("attempts").groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("attempts"))
+    held = store.table("drafts").withColumn("table", F.lit("drafts")).unionByName(store.table("papers").withColumn("table", F.lit("papers")))
+    reviewed = F.size(F.filter("questions", lambda q: F.coalesce(q["reviewed"], F.lit(False)) & (F.size(q["issues"]) == 0)))
+    return held.join(n, "id", "left").select("table", "id", F.size("questions").cast("long").alias("questions"), reviewed.cast("long").alias("reviewed"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
 def latest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last autosave of each user and paper."""
     saves = B.table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("paper_id"), "user_id", F.col("ts").alias("saved_at"), F.col("event_id").alias("save_id"), "event_type")
@@ -194,7 +215,7 @@ def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.clipboard(answer_summary(Q(spark, sf_dir), latest_answers(B.answers(spark, sf_dir)), B.marks(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
+QUERIES = {f.__name__: f for f in (kept_papers, span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
 
 _NAME = "printf('%s_%03d_%s_%d.png', {}, seq, CASE WHEN unit = '' THEN 'u' ELSE unit END, no)"
 _OWN = """own AS (SELECT p.paper_id, p.seq, i.page, i.y, i.pos, i.text FROM ends p JOIN items i ON i.paper_id = p.paper_id AND (i.page, i.y) >= (p.page, p.y0) AND (p.next_page IS NULL OR (i.page, i.y) < (p.next_page, p.next_y)))"""
@@ -239,6 +260,9 @@ ORACLE_SQL = {
         CAST(round_even(p_partkey / 2, 0) AS BIGINT) AS half, p_name || '-x' AS utf16 FROM part""",
     "merged_cells": """SELECT s_suppkey AS paper_id, CASE WHEN text = '甲' THEN text || s_suppkey ELSE text END AS text, CAST(c AS INTEGER) AS colspan, CAST(r AS INTEGER) AS rowspan FROM supplier
         CROSS JOIN (VALUES ('甲', 2, 2), ('乙', 1, 1), ('丙', 1, 2), ('丁', 1, 2), ('戊', 1, 1), ('己', 1, 1), ('庚', 1, 1)) v(text, c, r)""",
+    "kept_papers": f"""WITH {B.QUESTIONS}, n AS (SELECT CAST(user_id % 500 AS VARCHAR) AS id, count(*) AS attempts FROM events GROUP BY 1), q AS (SELECT paper_id, count(*) AS n FROM questions WHERE paper_id % 7 <> 0 GROUP BY 1),
+        held AS (SELECT 'drafts' AS "table", paper_id, n, CASE WHEN paper_id % 3 = 0 THEN 0 ELSE n END AS reviewed FROM q WHERE paper_id % 3 = 0 OR paper_id % 5 = 0 UNION ALL SELECT 'papers', paper_id, n, n FROM q WHERE paper_id % 3 > 0)
+        SELECT "table", CAST(paper_id AS VARCHAR) AS id, n AS questions, reviewed, coalesce(attempts, 0) AS attempts FROM held LEFT JOIN n ON n.id = CAST(paper_id AS VARCHAR)""",
     "stored_papers": f"""WITH {B.QUESTIONS}, n AS (SELECT CAST(user_id % 500 AS VARCHAR) AS id, count(*) AS attempts FROM events GROUP BY 1)
         SELECT id, CASE WHEN id LIKE '%1' THEN '新' ELSE '卷' || id END AS title, 's' AS source, 'text' AS import_path, '2024-01-01 00:00:00' AS created_at, CAST(n AS INTEGER) AS count, CAST(review AS INTEGER) AS to_review, coalesce(attempts, 0) AS attempts
         FROM (SELECT CAST(paper_id AS VARCHAR) AS id, count(*) AS n, count(*) FILTER (seq % 2 = 0 AND blanks <= 0) AS review FROM questions GROUP BY 1) LEFT JOIN n USING (id) WHERE id NOT LIKE '%7' AND id NOT LIKE '%2'""",
