@@ -17,9 +17,10 @@ def safe_id(name: Column | str) -> Column:
     return F.regexp_replace(F.col(name) if isinstance(name, str) else name, r"[^A-Za-z0-9_\-]", "")
 
 
-def read_json(spark: SparkSession, path: str, schema: str = PAPER) -> DataFrame:
-    """The papers (or attempts) in a folder of JSON files, one a line; lines that don't parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("id is not null")
+def read_json(spark: SparkSession, path: str, schema: str = PAPER, one_a_file: bool = False, drafts: str = "draft") -> DataFrame:
+    """The papers (or attempts) in a folder of JSON files, one a line, or (one_a_file) one in each file on any number of lines. What doesn't parse is dropped, and so are files whose name begins with `drafts`."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", one_a_file).json(path)
+    return rows.where("id is not null").where(~F.col("_metadata.file_name").startswith(drafts))
 
 
 def as_json(papers: DataFrame) -> DataFrame:
@@ -59,11 +60,11 @@ def submitted(attempts: DataFrame, drafts: DataFrame, done: DataFrame) -> tuple[
 
 
 def listed(papers: DataFrame, attempts: DataFrame) -> DataFrame:
-    """id, title, source, import_path, created_at, count, to_review, attempts of papers (PAPER) and attempts (paper_id), for a listing by falling id."""
+    """id, title, source, import_path, created_at, count, to_review, attempts of papers (PAPER) and attempts (paper_id), by falling id."""
     n = attempts.groupBy("paper_id").agg(F.count("*").alias("attempts")).withColumnRenamed("paper_id", "id")
     review = F.size(F.filter("questions", lambda q: ~F.coalesce(q["reviewed"], F.lit(True))))
     rows = papers.select("id", "title", "source", "import_path", "created_at", F.coalesce(F.size("questions"), F.lit(0)).alias("count"), F.coalesce(review, F.lit(0)).alias("to_review"))
-    return rows.join(n, "id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    return rows.join(n, "id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0))).orderBy(F.desc("id"))
 
 
 def clipboard(summary: DataFrame, unanswered: str = "未作答") -> DataFrame:

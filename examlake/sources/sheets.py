@@ -6,7 +6,6 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -43,7 +42,9 @@ def workbook(title: str, header: list[str], rows: list[list]) -> bytes:
 def workbooks(rows: DataFrame, key: str, order: str, title: str, columns: dict[str, str]) -> DataFrame:
     """key, content: a workbook for each key, with the given columns (name: heading) in order. A group is one attempt or paper."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf):
+        import pandas as pd
+
         cells = pdf.sort_values(order)[list(columns)].astype(object).where(lambda x: x.notna(), None).to_numpy().tolist()
         return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [workbook(title, list(columns.values()), cells)]})
 

@@ -10,13 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.segmentation import parsed_questions
 from ..operators.validation import validated
+from ..sources.papers import latest_drafts
 from ..sources.text import text_lines
 
 
 def latest_saves(saves: DataFrame) -> DataFrame:
-    """The last save (saved_at, then save_id) of each user and paper, for a sink in update or complete mode; the state has one row for each of them."""
-    columns = [c for c in saves.columns if c not in ("paper_id", "user_id")]
-    return saves.groupBy("paper_id", "user_id").agg(F.max_by(F.struct(*columns), F.struct("saved_at", "save_id")).alias("last")).select("paper_id", "user_id", "last.*")
+    """latest_drafts() over a stream, for a sink in update or complete mode; the state has one row for each user and paper."""
+    return latest_drafts(saves)
 
 
 def saves_an_hour(saves: DataFrame, late: str = "10 minutes") -> DataFrame:

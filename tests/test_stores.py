@@ -2,6 +2,7 @@
 
 import json
 
+from examlake.operators.rewriting import text_chunks
 from examlake.sources import papers as P
 from examlake.streaming.saves import latest_saves, parse_arriving, saves_an_hour
 
@@ -24,6 +25,21 @@ def test_json_papers(spark, tmp_path):
     assert [r.id for r in P.orphaned(table.where("id < 'p3'"), table.where("id = 'p1'")).collect()] == ["p2"]
 
 
+def test_one_paper_a_file(spark, tmp_path):
+    for name, i in (("p1.json", 1), ("p2.json", 2), ("draft_p3.json", 3)):
+        (tmp_path / name).write_text(json.dumps(paper(i), ensure_ascii=False, indent=1), "utf-8")
+    (tmp_path / "broken.json").write_text("{\n 'id': ", "utf-8")
+    table = P.read_json(spark, f"file://{tmp_path}", one_a_file=True)
+    assert [r.id for r in P.listed(table, spark.createDataFrame([], "paper_id string")).collect()] == ["p2", "p1"]
+
+
+def test_a_last_line_end_begins_no_line(spark):
+    text = "\n".join(f"{k}. 题" for k in range(1, 26))
+    rows = text_chunks(spark.createDataFrame([(1, text + "\n"), (2, text), (3, "1. 题\n")], "paper_id long, text string")).collect()
+    found = {(r.paper_id, r.chunk): r.text for r in rows}
+    assert found[1, 1] == found[2, 1] and found[1, 1].endswith("25. 题") and found[3, 0] == "1. 题\n"
+
+
 def test_attempts(spark):
     drafts = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "paper_id string, user_id int")
     done = drafts.where("user_id = 1")
