@@ -1,8 +1,9 @@
 """Papers as JSON, changes by key, and streams of saves and papers."""
 
 import json
+import time
 
-from examlake.operators.rewriting import text_chunks
+from examlake.operators.rewriting import rewritten, rewritten_chunks, text_chunks
 from examlake.sources import papers as P
 from examlake.streaming.saves import latest_saves, parse_arriving, saves_an_hour
 
@@ -40,6 +41,28 @@ def test_a_last_line_end_begins_no_line(spark):
     assert found[1, 1] == found[2, 1] and found[1, 1].endswith("25. 题") and found[3, 0] == "1. 题\n"
 
 
+def test_failing_and_slow_chunks(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def rewriter(text):
+        if "slow" in text:
+            time.sleep(0.5)
+        if "bad" in text:
+            raise ValueError("no")
+        if "once" in text:
+            try:
+                open(seen, "x").close()
+            except FileExistsError:
+                return text.upper()
+            raise OSError("busy")
+        return text.upper()
+
+    chunks = spark.createDataFrame([(1, k, t) for k, t in enumerate(["slow a", "b", "bad c", "once d", "e"])], "paper_id long, chunk int, text string").coalesce(1)
+    rows = rewritten_chunks(chunks, rewriter, parallel=3, delays=(0.0, 0.0)).collect()
+    assert [(r.chunk, r.text, r.error) for r in rows] == [(0, "SLOW A", None), (1, "B", None), (2, "bad c", "ValueError: no"), (3, "ONCE D", None), (4, "E", None)]
+    assert [tuple(r) for r in rewritten(chunks, rewriter, delays=()).collect()] == [(1, "SLOW A\n\nB\n\nbad c\n\nONCE D\n\nE", 1)]
+
+
 def test_attempts(spark):
     drafts = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "paper_id string, user_id int")
     done = drafts.where("user_id = 1")
