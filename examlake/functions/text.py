@@ -88,6 +88,23 @@ def formatted_answer(kind: str = "type", values: str = "values", is_list: str =
     return F.when(given.isNull(), "").when(F.col(kind).isin("single", "multi", "judge"), choice).when(F.col(kind) == "blank", blank).otherwise(F.btrim(F.array_join(given, "\n")))
 
 
+def answer_values(answer: Column | str) -> Column:
+    """(values, is_list) of an answer as it was sent, for formatted_answer(): a JSON text, number or truth value is one value, a list or an object (by the order of its keys, numbers first) is several.
+
+    JSON null and a null answer have no values; what isn't JSON is a text.
+    """
+    column = F.col(answer) if isinstance(answer, str) else answer
+    parsed = F.try_parse_json(column)
+    kind = F.schema_of_variant(parsed)
+    entries = F.array_sort(F.transform(F.map_entries(F.try_variant_get(parsed, "$", "map<string,string>")), lambda e: F.struct(e["key"].try_cast("long").isNull().alias("named"), e["key"].try_cast("long").alias("at"), e["key"], e["value"])))
+    whole = lambda values: F.transform(values, lambda v: F.coalesce(v, F.lit("")))
+    values = (
+        F.when(parsed.isNull(), F.when(column.isNotNull(), F.array(column))).when(kind.startswith("ARRAY"), whole(F.try_variant_get(parsed, "$", "array<string>"))).when(kind.startswith("OBJECT"), whole(F.transform(entries, lambda e: e["value"])))
+        .when(kind != "VOID", F.array(F.try_variant_get(parsed, "$", "string")))
+    )
+    return F.struct(values.alias("values"), F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False)).alias("is_list"))
+
+
 def slug(name: Column | str, fallback: str = "paper") -> Column:
     """Letters, digits, _ and - of a name; a fallback where nothing is left."""
     column = F.col(name) if isinstance(name, str) else name

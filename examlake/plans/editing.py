@@ -194,6 +194,15 @@ def kept_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(n, "id", "left").select("table", "id", F.size("questions").cast("long").alias("questions"), reviewed.cast("long").alias("reviewed"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+def mixed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as they were sent: texts, numbers, lists, objects and what isn't JSON, by order line."""
+    line = B.table(spark, sf_dir, "lineitem")
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    sent = F.concat_ws("", *[F.when(F.col("l_partkey") % 6 == k, F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])) for k, parts in enumerate([('"t', part, '"'), ('["', part, '", "", ', supplier, "]"), ('{"10": "', part, '", "9": ', supplier, ', "b": null}'), (part,), ("选 ", part), ("null",)])])
+    rows = line.select(F.col("l_orderkey").alias("paper_id"), "l_linenumber", "l_partkey", "l_suppkey", T.answer_values(sent).alias("a"))
+    return rows.select("paper_id", F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.array_join("a.values", "|").alias("given"), F.col("a.is_list").alias("is_list"))
+
+
 def latest_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last autosave of each user and paper."""
     saves = B.table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("paper_id"), "user_id", F.col("ts").alias("saved_at"), F.col("event_id").alias("save_id"), "event_type")
@@ -215,7 +224,7 @@ def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.clipboard(answer_summary(Q(spark, sf_dir), latest_answers(B.answers(spark, sf_dir)), B.marks(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (kept_papers, span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
+QUERIES = {f.__name__: f for f in (kept_papers, mixed_answers, span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
 
 _NAME = "printf('%s_%03d_%s_%d.png', {}, seq, CASE WHEN unit = '' THEN 'u' ELSE unit END, no)"
 _OWN = """own AS (SELECT p.paper_id, p.seq, i.page, i.y, i.pos, i.text FROM ends p JOIN items i ON i.paper_id = p.paper_id AND (i.page, i.y) >= (p.page, p.y0) AND (p.next_page IS NULL OR (i.page, i.y) < (p.next_page, p.next_y)))"""
@@ -263,6 +272,8 @@ ORACLE_SQL = {
     "kept_papers": f"""WITH {B.QUESTIONS}, n AS (SELECT CAST(user_id % 500 AS VARCHAR) AS id, count(*) AS attempts FROM events GROUP BY 1), q AS (SELECT paper_id, count(*) AS n FROM questions WHERE paper_id % 7 <> 0 GROUP BY 1),
         held AS (SELECT 'drafts' AS "table", paper_id, n, CASE WHEN paper_id % 3 = 0 THEN 0 ELSE n END AS reviewed FROM q WHERE paper_id % 3 = 0 OR paper_id % 5 = 0 UNION ALL SELECT 'papers', paper_id, n, n FROM q WHERE paper_id % 3 > 0)
         SELECT "table", CAST(paper_id AS VARCHAR) AS id, n AS questions, reviewed, coalesce(attempts, 0) AS attempts FROM held LEFT JOIN n ON n.id = CAST(paper_id AS VARCHAR)""",
+    "mixed_answers": """SELECT l_orderkey AS paper_id, l_linenumber AS line, l_partkey, l_suppkey,
+        CASE l_partkey % 6 WHEN 0 THEN 't' || l_partkey WHEN 1 THEN l_partkey || '||' || l_suppkey WHEN 2 THEN l_suppkey || '|' || l_partkey || '|' WHEN 3 THEN CAST(l_partkey AS VARCHAR) WHEN 4 THEN '选 ' || l_partkey END AS given, l_partkey % 6 IN (1, 2) AS is_list FROM lineitem""",
     "stored_papers": f"""WITH {B.QUESTIONS}, n AS (SELECT CAST(user_id % 500 AS VARCHAR) AS id, count(*) AS attempts FROM events GROUP BY 1)
         SELECT id, CASE WHEN id LIKE '%1' THEN '新' ELSE '卷' || id END AS title, 's' AS source, 'text' AS import_path, '2024-01-01 00:00:00' AS created_at, CAST(n AS INTEGER) AS count, CAST(review AS INTEGER) AS to_review, coalesce(attempts, 0) AS attempts
         FROM (SELECT CAST(paper_id AS VARCHAR) AS id, count(*) AS n, count(*) FILTER (seq % 2 = 0 AND blanks <= 0) AS review FROM questions GROUP BY 1) LEFT JOIN n USING (id) WHERE id NOT LIKE '%7' AND id NOT LIKE '%2'""",
