@@ -7,8 +7,9 @@ walk adds to the divergence of every two sources and keeps the best candidates o
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+import gc
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from heapq import nsmallest
 
 import numpy as np
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_written, releasing, written
+from .shared import BLOCK_BYTES, as_bytes, blocks, drop_written, releasing, written
 
 #: Documents of its language that a kept term is in.
 LEAST_DOCUMENTS = 10
@@ -34,31 +35,43 @@ SALTS = 64
 #: Key of a leaf's count of documents, beside those of its sources.
 _DOCS = -1
 #: Terms are runs of letters and of bytes beyond ASCII; A-Z become lower case, all else a space.
-_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_TERM_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
 class RadixTrie:
-    """Terms as paths of byte labels; a node is [label, children by first byte, counters]."""
+    """Terms as paths of byte labels; a node is [label, children by first byte, counters], the last two None where there are none."""
 
     def __init__(self) -> None:
-        self._root: list = [b"", {}, None]
+        self._root: list = [b"", None, None]
+        self._path: list[tuple[list, int]] = [(self._root, 0)]  # to the term that was new last, and where each node ends: sorted terms go on from there
+        self._last = b""
+        self._known: dict[bytes, dict[int, int]] = {}  # leaves by term: most terms are met again
         self.held = 0
 
     def leaf(self, term: bytes) -> dict[int, int]:
         """The counters at a term, new ones where it is not in yet; a label that the term leaves half-way is split there."""
-        node, at = self._root, 0
+        known = self._known.get(term)
+        if known is not None:
+            return known
+        path, same = self._path, _common(self._last, term)
+        while path[-1][1] > same:
+            path.pop()
+        (node, at), self._last = path[-1], term
         while at < len(term):
-            below = node[1].get(term[at])
+            first = term[at]
+            if node[1] is None:
+                node[1] = {}
+            below = node[1].get(first)
             if below is None:
-                below = node[1][term[at]] = [term[at:], {}, None]
+                below = node[1][first] = [term[at:], None, None]
             elif not term.startswith(below[0], at):
-                label = below[0]
+                label, rest = below[0], below
                 same = _common(label, term[at : at + len(label)])
-                below = node[1][term[at]] = [label[:same], {label[same]: below}, None]
-                below[1][label[same]][0] = label[same:]
+                rest[0] = label[same:]
+                below = node[1][first] = [label[:same], {label[same]: rest}, None]
             node, at = below, at + len(below[0])
-        if node[2] is None:
-            node[2] = {}
+            path.append((node, at))
+        node[2] = self._known[term] = {}
         return node[2]
 
     def add(self, term: bytes, counts: Iterable[tuple[int, int]]) -> None:
@@ -68,6 +81,20 @@ class RadixTrie:
             leaf[key] = leaf.get(key, 0) + n
         self.held += len(leaf)
 
+    def count(self, key: int, terms: list[bytes], occurrences: list[int], documents: list[int]) -> None:
+        """Add what one source has of some terms."""
+        leaf_of, known, new = self.leaf, self._known.get, 0
+        for term, n, in_documents in zip(terms, occurrences, documents, strict=True):
+            leaf = known(term)
+            if leaf is None:
+                leaf_of(term).update({key: n, _DOCS: in_documents})
+                new += 2
+                continue
+            new += key not in leaf
+            leaf[key] = leaf.get(key, 0) + n
+            leaf[_DOCS] += in_documents
+        self.held += new
+
     def walk(self) -> Iterator[tuple[bytes, dict[int, int]]]:
         """Terms in the order of their bytes, which is that of their code points."""
         stack = [(b"", self._root)]
@@ -76,12 +103,16 @@ class RadixTrie:
             path += node[0]
             if node[2] is not None:
                 yield path, node[2]
-            stack += [(path, node[1][byte]) for byte in sorted(node[1], reverse=True)]
+            if node[1] is not None:
+                stack += [(path, node[1][byte]) for byte in sorted(node[1], reverse=True)]
 
 
 def _common(a: bytes, b: bytes) -> int:
     """How many bytes two strings share at their start."""
-    low, high = 0, min(len(a), len(b))
+    unlike = int.from_bytes(a[:8].ljust(8, b"\0"), "big") ^ int.from_bytes(b[:8].ljust(8, b"\0"), "big")
+    if unlike:
+        return min(8 - (unlike.bit_length() + 7) // 8, len(a), len(b))
+    low, high = min(len(a), len(b), 8), min(len(a), len(b))
     while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
@@ -165,53 +196,76 @@ def _batches(rows: Iterable[dict], schema: pa.Schema, most: int = 4096) -> Itera
 _PIECE_SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("counters", pa.int64()), ("terms", pa.int64()), ("sources", pa.list_(pa.string())), ("trie", pa.binary())])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries of this partition's documents, in pieces; given out whenever they hold HELD counters."""
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different terms of a block of documents in order, and which of them each document's words are: terms, and document and term of each word."""
+    low = _TERM_BYTES[data]
+    inside = np.concatenate([low != 32, [False]])
+    first = inside[:-1].copy()
+    first[1:] &= ~inside[:-2]
+    edges = offsets[1:-1][offsets[1:-1] < len(low)]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # all bytes of words, one word behind the other: a word is as long as there are such bytes up to the next one's start
+    so_far = np.cumsum(inside[:-1])
+    ends = np.append(so_far[starts[1:]] - 1, so_far[-1])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(low[inside[:-1]])])
+    found = words.dictionary_encode()
+    terms = found.dictionary.to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    rank = np.empty(len(terms), np.int64)
+    rank[order] = np.arange(len(terms))
+    return [terms[k] for k in order], np.searchsorted(offsets, starts, "right") - 1, rank[found.indices.to_numpy()]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], cut: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Tries of this partition's documents, in pieces; given out whenever they hold `most` counters."""
     tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
     names: dict[str, dict[str, int]] = defaultdict(dict)
 
-    def count(lang: str, source: str, texts: list[bytes]) -> None:
-        occurrences, documents = Counter(), Counter()
-        for text in texts:
-            words = text.translate(_TERM_BYTES).split()
-            occurrences.update(words)
-            documents.update(set(words))
-        trie, key = tries[lang], names[lang].setdefault(source, len(names[lang]))
-        for term, n in occurrences.items():
-            trie.add(term, ((key, n), (_DOCS, documents[term])))
+    def count(groups: list[tuple[str, str]], group: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        terms, document, term = terms_of(data, offsets)
+        if not terms:
+            return
+        pairs, times = np.unique(document * len(terms) + term, return_counts=True)
+        keys, at, documents = np.unique(group[pairs // len(terms)] * len(terms) + pairs % len(terms), return_inverse=True, return_counts=True)
+        occurrences = np.zeros(len(keys), np.int64)
+        np.add.at(occurrences, at, times)
+        ends = np.searchsorted(keys, np.arange(len(groups) + 1) * len(terms))
+        for g, (lang, source) in enumerate(groups):
+            here = slice(ends[g], ends[g + 1])
+            if here.start < here.stop:
+                tries[lang].count(names[lang].setdefault(source, len(names[lang])), [terms[k] for k in (keys[here] - g * len(terms)).tolist()], occurrences[here].tolist(), documents[here].tolist())
 
     def given_out() -> Iterator[dict]:
         for lang, trie in tries.items():
-            yield from _pieces(lang, CUT, list(names[lang]), trie.walk())
+            yield from _pieces(lang, cut, list(names[lang]), trie.walk())
         tries.clear()
         names.clear()
 
     def rows() -> Iterator[dict]:
         for batch in batches:
-            groups, sizes = defaultdict(list), Counter()
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                groups[lang, source].append(raw := text.as_py())
-                sizes[lang, source] += len(raw)
-                if sizes[lang, source] > HELD * 16:
-                    count(lang, source, groups.pop((lang, source)))
-                    sizes[lang, source] = 0
-                    if sum(x.held for x in tries.values()) > HELD:
-                        yield from given_out()
-            for (lang, source), texts in groups.items():
-                count(lang, source, texts)
-                if sum(x.held for x in tries.values()) > HELD:
+            if not batch.num_rows:
+                continue
+            data, offsets = as_bytes(batch.column(2))
+            place: dict[tuple[str, str], int] = {}
+            group = np.array([place.setdefault(x, len(place)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            for i, j in blocks(offsets, 4 * BLOCK_BYTES):
+                count(list(place), group[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if sum(x.held for x in tries.values()) > most:
                     yield from given_out()
         yield from given_out()
 
     return _batches(rows(), _PIECE_SCHEMA)
 
 
-def _cut_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_further(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("lang", "prefix", "sources", "trie")}
-                yield from _pieces(row["lang"], len(row["prefix"]) + CUT, row["sources"], ((t, dict(x)) for t, x in _leaves(row["trie"])))
+                yield from _pieces(row["lang"], len(row["prefix"]) + cut, row["sources"], ((t, dict(x)) for t, x in _leaves(row["trie"])))
 
     return _batches(rows(), _PIECE_SCHEMA)
 
@@ -269,8 +323,8 @@ _FOUND = "lang string, source string, part string, item string, value long"
 _FOUND_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks merged pieces: sums over their terms for every two sources, and each source's best candidates so far. Both are given out before they exceed CELLS cells."""
+def _walked(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Walks merged pieces: sums over their terms for every two sources, and each source's best candidates so far. Both are given out before they exceed `most` cells."""
     pairs: dict[tuple, np.ndarray] = {}
     best: dict[tuple[str, str], list[tuple[int, bytes]]] = {}
     others: dict[tuple, list[str]] = {}
@@ -279,7 +333,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, stripe), sums in pairs.items():
             names = others[lang, stripe]
             for i, values in enumerate(sums):
-                source = names[stripe * STRIPE + i]
+                source = names[stripe * width + i]
                 for other, value in zip(names, values.tolist(), strict=True):
                     if other != source:
                         yield {"lang": lang, "source": source, "part": "pair", "item": other, "value": value}
@@ -295,10 +349,10 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {s: i for i, s in enumerate(names)}
         column = np.array([place[s] for s in row["sources"]])[keys]
         line = np.repeat(np.arange(len(terms)), sizes)
-        first, last = stripe * STRIPE, min((stripe + 1) * STRIPE, len(names))
+        first, last = stripe * width, min((stripe + 1) * width, len(names))
         total = pairs.setdefault((lang, stripe), np.zeros((last - first, len(names)), np.int64))
         others[lang, stripe] = names
-        ends, step = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), max(1, CELLS // len(names))
+        ends, step = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), max(1, most // len(names))
         for a in range(0, len(terms), step):
             b = min(a + step, len(terms))
             here = slice(int(ends[a]), int(ends[b]))
@@ -318,7 +372,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in ("lang", "stripe", "v", "names", "sums", "sources", "trie")}
-                if (row["lang"], row["stripe"]) not in pairs and sum(x.size for x in pairs.values()) > CELLS:
+                if (row["lang"], row["stripe"]) not in pairs and sum(x.size for x in pairs.values()) > most:
                     yield from given_out()
                 walk(row["lang"], row["stripe"], row["names"], np.array(row["sums"], np.int64), row["v"], row)
         yield from given_out()
@@ -326,6 +380,19 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(rows(), _FOUND_SCHEMA)
 
 
+def _with(run: Callable, *limits: int) -> Callable:
+    """run with limits as they are now, whatever a worker's module says. Tries hold no cycles, so looking for some among millions of nodes is left off meanwhile."""
+
+    def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches, *limits)
+        finally:
+            gc.enable()
+
+    return releasing(all_batches)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     blank: list[Column] = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     return docs.select(*blank, F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
@@ -333,7 +400,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def merged_tries(docs: DataFrame) -> DataFrame:
     """Kept terms of docs (text, lang, source) as written pieces of tries: lang, prefix, terms, sources, totals (of each source), trie (packed)."""
-    pieces = written(_texts(docs).mapInArrow(releasing(_counted), _PIECES), "term-tries")
+    pieces = written(_texts(docs).mapInArrow(_with(_counted, CUT, HELD), _PIECES), "term-tries")
     parts, done = [pieces], []
     while True:
         weight = pieces.groupBy("lang", "prefix").agg(F.sum("counters").alias("all"), F.max("terms").alias("most"))
@@ -343,13 +410,13 @@ def merged_tries(docs: DataFrame) -> DataFrame:
             break
         heavy = written(heavy, "heavy-prefixes")
         done.append(pieces.join(heavy, ["lang", "prefix"], "left_anti"))
-        pieces = written(pieces.join(heavy, ["lang", "prefix"], "left_semi").select(*pieces.columns).mapInArrow(releasing(_cut_further), _PIECES), "term-tries")
+        pieces = written(pieces.join(heavy, ["lang", "prefix"], "left_semi").select(*pieces.columns).mapInArrow(_with(_cut_further, CUT), _PIECES), "term-tries")
         parts += [heavy, pieces]
     all_pieces = done[0]
     for more in done[1:]:
         all_pieces = all_pieces.unionByName(more)
     sorted_pieces = all_pieces.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
-    out = written(sorted_pieces.mapInArrow(releasing(_merged), _MERGED), "merged-tries")
+    out = written(sorted_pieces.mapInArrow(_with(_merged), _MERGED), "merged-tries")
     drop_written(*parts)
     return out
 
@@ -369,7 +436,7 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     salted = langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pieces = tries.withColumn("salt", F.pmod(F.xxhash64("prefix"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
     stripes = pieces.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(names) - 1) div {STRIPE} as int)"))))
-    found = stripes.select("lang", "stripe", "v", "names", "sums", "sources", "trie").mapInArrow(releasing(_walked), _FOUND)
+    found = stripes.select("lang", "stripe", "v", "names", "sums", "sources", "trie").mapInArrow(_with(_walked, STRIPE, CELLS), _FOUND)
     found = written(found, "divergence")
     summed = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     bare = langs.where("v = 0").select("lang", F.explode("names").alias("source"), "names").select("lang", "source", F.lit("pair").alias("part"), F.explode("names").alias("item"), F.lit(0).cast("long").alias("value"))

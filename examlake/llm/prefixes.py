@@ -109,8 +109,8 @@ def _refined(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         low, width = high, min(2 * width, MOST_TURNS)
 
 
-def _blocks_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, conv_id) as one row for up to BLOCK_IDS ids of one key."""
+def _blocks_of_ids(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, conv_id) as one row for up to `most` ids of one key."""
     at, held = None, []
 
     def row() -> pa.RecordBatch:
@@ -118,7 +118,7 @@ def _blocks_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for key, conv_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and (key != at or len(held) == BLOCK_IDS):
+            if held and (key != at or len(held) == most):
                 yield row()
                 held = []
             at = key
@@ -149,7 +149,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ends(ends: DataFrame) -> DataFrame:
     """key, ends_sha256 of rows (key, conv_id): the ids of a key in order are hashed one after the other by definition, so they travel there in packed blocks."""
-    blocks = ends.select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(releasing(_blocks_of_ids), "key binary, first long, ids string")
+    most = BLOCK_IDS
+    blocks = ends.select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(releasing(lambda batches: _blocks_of_ids(batches, most)), "key binary, first long, ids string")
     return blocks.repartition("key").sortWithinPartitions("key", "first").select("key", "ids").mapInArrow(releasing(_hashed), "key binary, ends_sha256 string")
 
 
