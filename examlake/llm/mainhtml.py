@@ -29,11 +29,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _HIDDEN = frozenset("script style noscript iframe template svg math canvas object embed head title textarea select option button input nav footer aside header dialog menu audio video map".split())
-#: Parts of class, id and role values that say an element is no article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|commentlist|cookies?|consent|disqus|dialog|footer|footnav|gdpr|header|login|masthead|menu\w*|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|"
-    r"recommend\w*|related\w*|replies|reply|respond|search|share\w*|shar(?:e|ing)|sidebar\w*|signup|skip|social\w*|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|widgets?|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
-_KEEP = re.compile(r"(?:^|[\s_-])(?:article|body|content|main|post|entry|story|text)(?:$|[\s_-])", re.I)
+#: Words of class, id and role values that say an element is no article: those that say it whatever stands beside them, and those that don't beside _KEEP.
+_NEVER = re.compile(r"ads?|adv|advert\w*|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|footer|footnav|gdpr|login|masthead|menu\w*|modal|nav\w*|newsletter|pager|pagination|popup|repl(?:y|ies)|respond|sidebar\w*|signup|sponsor\w*|subscribe|subscription", re.I)
+_SELDOM = re.compile(r"banner|byline|complementary|contentinfo|dialog|notices?|notification|promo\w*|recommend\w*|shar(?:e|ing)|share\w*|skip|social\w*|teaser|toolbar|widgets?", re.I)
+#: Words that are as likely parts of an article: they count for a container alone, and only by themselves or with a word for what holds other pages.
+_PERHAPS = re.compile(r"(?:header|related|search|tags)(?:[_-](?:area|articles|bar|block|box|container|form|items|links|list|news|posts|products|section|stories|widget|wrap|wrapper))?|related(?:articles|links|news|posts|stories)", re.I)
+_KEEP = re.compile(r"article|body|content|main|post|entry|story|text", re.I)
+#: Words by which a class speaks of the layout around a part, or of its state: no-sidebar, content-sidebar-wrap, menu-open.
+_AROUND, _STATE = frozenset("no not has with without hide".split()), frozenset("wrap wrapper layout container grid outer row columns open closed active visible enabled disabled expanded collapsed left right on off".split())
 _MAIN = frozenset(("html", "body", "main", "article"))
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Elements whose points go to the one around them, and items with the elements that hold them.
@@ -59,6 +62,21 @@ class Node:
         self.wrapper = False  # of a form: it holds an article, and so a page
 
 
+def _says_noise(names: list[str], tag: str, within: bool, role: bool) -> bool:
+    """Whether the names of an element, each of words joined by - or _, say that it is no article."""
+    words = [re.split("[_-]+", name) for name in names]
+    keep = [any(_KEEP.fullmatch(w) for w in own) for own in words]
+    for k, (name, own) in enumerate(zip(names, words, strict=True)):
+        layout = own[0].lower() in _AROUND or ((own[-1].lower() in _STATE) and any(keep))
+        if not layout and any(_NEVER.fullmatch(w) for w in own):
+            return True
+        if (role or not any(keep)) and any(_SELDOM.fullmatch(w) for w in own):
+            return True
+        if tag not in _HELD and not (keep[k] or (within and name.lower() in ("header", "tags", "search", "related"))) and _PERHAPS.fullmatch(name):
+            return True
+    return False
+
+
 def _noise(tag: str, attributes: str, here: Node) -> bool:
     if tag in _HIDDEN and not (tag == "header" and here.within):  # an article's header has its title
         return True
@@ -68,7 +86,7 @@ def _noise(tag: str, attributes: str, here: Node) -> bool:
         name, value = (name or bare).lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
-        if name in ("class", "id", "role") and _NOISE.search(value) and not (name != "role" and _KEEP.search(value)):
+        if name in ("class", "id", "role") and _says_noise(value.split(), tag, here.within, name == "role"):
             return True
     return False
 
@@ -257,6 +275,19 @@ def _owner(stack: list[tuple[Node, Iterator]]) -> Node:
     return next((node for node, _ in reversed(stack) if not _runs_on(node)), stack[0][0]) if stack else Node("#root", None)
 
 
+def _among_links(node: Node, beside: dict[int, list[bool]]) -> bool:
+    """Whether a block that is a link stands in a container that is mostly links, or next to another such block. beside: for each block of a container asked about, whether a neighbour is a link."""
+    if node.tag not in ("div", "li") or node.parent is None:
+        return False
+    if node.parent.links > 0.5 * node.parent.text:
+        return True
+    if id(node) not in beside:
+        blocks = [x for x in node.parent.children if isinstance(x, Node) and x.tag not in _INLINE and x.text]
+        link = [False, *(x.tag in ("div", "li") and x.links == x.text for x in blocks), False]
+        beside.update({id(x): link[k] or link[k + 2] for k, x in enumerate(blocks)})
+    return beside.get(id(node), False)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page as blocks joined by two line ends; empty if there is none."""
     if not page:
@@ -296,10 +327,10 @@ def main_text(page: str | None) -> str:
         above = place[id(node.parent)] if node.parent else (None, False)
         own = node.tag in ("ul", "ol", "table", "dl") and node.links > 0.5 * node.text
         place[id(node)] = (id(node), False) if id(node) in kept else (above[0], above[1] or own)
-    out = []
+    out, beside = [], {}
     for node, text, linked in lines:
         above, menu = place[id(node)]
-        if above == article is not None or (above is not None and not menu and not (linked == len(text) and node.tag in ("div", "li") and len(text) < LONG)):
+        if above == article is not None or (above is not None and not menu and not (linked == len(text) and _among_links(node, beside))):
             out.append(text)
     return "\n\n".join(out)
 

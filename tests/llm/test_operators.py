@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -542,6 +543,30 @@ def test_main_text():
     assert [main_text(x) for x in (None, "", "<nav><a>x</a></nav>", "<script>1", "just text", "<p>x <b>y")] == ["", "", "", "", "just text", "x y"]
 
 
+_PROSE = "<p>" + "A long paragraph, with commas, and words. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["post-comments", "main-menu", "sidebar-content", "cookie-text", "comments", "entry-footer", "related-posts", "nav_main"])
+def test_names_of_what_is_no_article(name):
+    part = f"<div class='{name}'><p>zzz some words, of others, and more, so that it counts.</p></div>"
+    for page in (f"<article>{_PROSE}{part}{_PROSE}</article>", f"<div class='content'>{_PROSE}{_PROSE}</div>{part}"):
+        assert "zzz" not in main_text(f"<body>{page}</body>") and "commas" in main_text(f"<body>{page}</body>")
+
+
+@pytest.mark.parametrize("part", ['<h2 class="section-header">zzz</h2>', '<p class="tags">zzz</p>', '<p class="search">zzz</p>', '<div class="related-work"><p>zzz is related.</p></div>', '<div class="content-sidebar-wrap"><p>zzz, in a wrapper.</p></div>', '<div class="text no-sidebar"><p>zzz, alone.</p></div>'])
+def test_names_of_parts_of_an_article(part):
+    for tag in ("article", "div"):
+        assert "zzz" in main_text(f"<body><{tag} class='content'>{_PROSE}{part}{_PROSE}</{tag}></body>")
+
+
+def test_a_linked_line_is_text_and_several_are_a_menu():
+    lone, menu = "<div><a href='x'>zzz a title</a></div>", "<div><a href='x'>zzz</a></div><div><a href='y'>yyy</a></div>"
+    assert "zzz" in main_text(f"<body>{_PROSE}{lone}{_PROSE}</body>") and "zzz" not in main_text(f"<body>{menu}{_PROSE}{_PROSE}</body>")
+    began = time.time()
+    main_text("<body>" + _PROSE * 3000 + "<p>x y z</p>".join(["<div><a>q</a></div>"] * 20000) + "</body>")
+    assert time.time() - began < 20
+
+
 def test_main_text_keeps_parts_of_the_article():
     page = """<body><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><article><header><h1>Title</h1></header><p>A paragraph, long enough, with commas, to be the article of this page.</p>
 <figure><table><tr><td>cell<td>other</table><figcaption>A caption</figcaption></figure><figure><pre>x = 1</pre></figure><ul><li><a href="/r">First reference</a><li><a href="/s">Second reference</a></ul>
