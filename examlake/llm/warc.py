@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -60,14 +61,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(VERSION + b"\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+_LONG = re.compile(r"-?[0-9]{1,19}")
+
+
 def _number(urn: str | None) -> int | None:
-    """The page_id in a record id of this module; None in any other."""
+    """The page_id in a record id of this module; None in any other, also in one of its form that has no 64-bit number."""
     found = (urn or "").strip("<>")
-    return int(found.removeprefix(_URN)) if found.startswith(_URN) and found != _URN else None
+    number = found.removeprefix(_URN) if found.startswith(_URN) else ""
+    return int(number) if _LONG.fullmatch(number) and -(2**63) <= int(number) < 2**63 else None
 
 
 def parsed(raw: bytes) -> dict | None:
-    """The record that a member decodes to; None if it isn't one. Other kinds than response and revisit have a record_type alone."""
+    """The record that a member decodes to; None if it isn't one. Other kinds than response and revisit have a record_type alone; a response whose payload isn't what its digest or length says is damaged: that is its record_type, and what it says is kept without the payload."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"WARC/"):
         return None
@@ -78,12 +83,13 @@ def parsed(raw: bytes) -> dict | None:
     if kind not in ("response", "revisit"):
         return {"record_type": kind}
     http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    stated = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+    length = int(stated) if stated.isdigit() and len(stated) < 19 else None
     revisit = kind == "revisit"
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or (None if revisit else digest_of(payload))
     if not revisit and (digest != digest_of(payload) or length not in (None, len(payload))):
-        raise ValueError(f"damaged payload of record {fields.get('warc-record-id')}")
-    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _number(fields.get("warc-refers-to")) if revisit else None, "payload_bytes": length if revisit else len(payload), "payload_digest": digest, "payload": None if revisit else payload}
+        kind, payload = "damaged", None
+    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _number(fields.get("warc-refers-to")) if revisit else None, "payload_bytes": length if revisit or payload is None else len(payload), "payload_digest": digest, "payload": None if revisit else payload}
 
 
 def _opened(path: str):
@@ -208,7 +214,7 @@ def reading_tasks(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> int:
 def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits) of all records.
 
-    archives: path and size of each file. Payload digests are verified as they are read; a response without one gets its own. Records of
+    archives: path and size of each file. Payload digests are verified as they are read; a response without one gets its own, and one whose payload is another is a row of record_type damaged, with what it says and no payload. Records of
     other kinds, and bytes between members that are no record, are passed over; page_id is null where a record id isn't one of this module. An empty table gives no rows.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))

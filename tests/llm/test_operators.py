@@ -445,6 +445,23 @@ def test_reader_passes_over_other_records(tmp_path, spark):
     assert sorted((r.page_id or 0, r.payload_bytes, bytes(r.payload)) for r in read_archives(archives).collect()) == [(0, 5, b"hello"), (3, 1, b"p")]
 
 
+def test_malformed_and_damaged_records_are_rows(tmp_path, spark):
+    import zlib as z
+
+    def changed(raw, old, new):
+        plain = z.decompress(raw, 31)
+        assert old in plain
+        packer = z.compressobj(6, z.DEFLATED, 31)
+        return packer.compress(plain.replace(old, new, 1)) + packer.flush()
+
+    good, urn = record(5, "u", b"payload", None), z.decompress(record(5, "u", b"payload", None), 31).split(b"WARC-Record-ID: <")[1].split(b"5>")[0]
+    raw = changed(good, urn + b"5>", urn + b"abc>") + changed(good, urn + b"5>", urn + b"9" * 30 + b">") + changed(good, b"payload\r\n\r\n", b"pAyload\r\n\r\n") + changed(good, b"Content-Length: 7", b"Content-Length: x") + good
+    (tmp_path / "c.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/c.warc.gz", len(raw))], "path string, size long")
+    rows = [(r.page_id, r.record_type, r.payload_bytes, r.payload and bytes(r.payload)) for r in read_archives(archives).collect()]
+    assert sorted(rows, key=str) == sorted([(None, "response", 7, b"payload"), (None, "response", 7, b"payload"), (5, "damaged", 7, None), (5, "response", 7, b"payload"), (5, "response", 7, b"payload")], key=str)
+
+
 def test_reader_owns_each_record_once_for_any_split(tmp_path):
     rng = random.Random(2)
     raw = b"junk\x1f\x8b\x08junk" + b"".join(record(i, f"u{i}", os.urandom(rng.randint(0, 3000)), None) for i in range(20)) + b"\x1f\x8b"
