@@ -13,7 +13,7 @@ from ..operators.reports import answer_summary, attempt_listing, exported_paper,
 from ..operators.validation import validated
 from ..sources.text import text_lines
 from . import bridges as B
-from . import editing, layouts, typeset
+from . import editing, folders, layouts, typeset
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (document_lines, text_functions, full_line_width, repeated_headers, body_lines, validation_verdict, validation_by_issue, listing, units, summary, attempts, unanswered_labels, summary_sheet, paper_sheet, keys_and_labels, question_chunks)
-} | typeset.QUERIES | editing.QUERIES | layouts.QUERIES
+} | typeset.QUERIES | editing.QUERIES | layouts.QUERIES | folders.QUERIES
 
 _WIDTH = r"round(length(regexp_replace(text, '[\x{0}-\x{2E80}]', '', 'g')) + length(regexp_replace(text, '[^\x{0}-\x{2E80}]', '', 'g')) * 0.55, 2)"
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +133,4 @@ ORACLE_SQL: dict[str, str] = {
         {', '.join(f"coalesce(options[{i + 1}], '') AS {x}" for i, x in enumerate('ABCDEFG'))}, blanks FROM questions""",
     "keys_and_labels": f"WITH {B.QUESTIONS} SELECT paper_id, unit || '|' || no AS key, CASE WHEN unit <> '' THEN unit || '-' ELSE '' END || no AS label, count(*) AS n FROM questions GROUP BY ALL HAVING count(*) > 1",
     "question_chunks": f"WITH {B.QUESTIONS} SELECT paper_id, CAST((seq - 1) // 20 AS INTEGER) AS chunk, min(seq) AS first, count(*) AS n FROM questions GROUP BY 1, 2",
-} | typeset.ORACLE_SQL | editing.ORACLE_SQL | layouts.ORACLE_SQL
+} | typeset.ORACLE_SQL | editing.ORACLE_SQL | layouts.ORACLE_SQL | folders.ORACLE_SQL

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .papers import ATTEMPT, PAPER
 
@@ -47,23 +47,13 @@ def _plain(name: object) -> bool:
 class ExamFilesReader(DataSourceReader):
     def __init__(self, options):
         self.options, self.nested = dict(options), str(options.get("nested", "false")).lower() == "true"
-        self.wanted: dict[str, set[str]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Equality of id and folder picks files before any is opened; what else is asked stays with Spark."""
-        for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            column = f.attribute[0] if values is not None and len(f.attribute) == 1 else None
-            if column == "id" or (column == "folder" and self.nested):
-                self.wanted[column] = self.wanted.get(column, values) & values
-            else:
-                yield f
+        self.wanted = {name: set(json.loads(options[name])) for name in ("ids", "folders") if name in options}
 
     def partitions(self) -> list[Part]:
         system, root = _opened(self.options)
-        ids = sorted(filter(_plain, self.wanted["id"])) if "id" in self.wanted else None
+        ids = sorted(filter(_plain, self.wanted["ids"])) if "ids" in self.wanted else None
         if self.nested:
-            folders = sorted(filter(_plain, self.wanted["folder"])) if "folder" in self.wanted else _names(system, root, fs.FileType.Directory)
+            folders = sorted(filter(_plain, self.wanted["folders"])) if "folders" in self.wanted else _names(system, root, fs.FileType.Directory)
             return [Part([(folder, ids) for folder in folders[k : k + FOLDERS_A_TASK]]) for k in range(0, len(folders), FOLDERS_A_TASK)]
         names = _ids(system, root) if ids is None else ids
         return [Part([("", names[k : k + FILES_A_TASK])]) for k in range(0, len(names), FILES_A_TASK)]
@@ -109,7 +99,11 @@ class ExamFilesWriter(DataSourceWriter):
 
 
 class ExamFiles(DataSource):
-    """folder, id, json, error: a row for each file; damaged ones have an error in place of their text. Option nested: files lie in one folder a paper."""
+    """folder, id, json, error: a row for each file; damaged ones have an error in place of their text.
+
+    Options: nested (files lie in one folder a paper), ids and folders (JSON lists: the only ones that are looked at). Keys are options and not filters
+    that Spark pushes down, as Spark 4.1 keeps one reader for all places of a plan in which a DataFrame stands, so a filter in one would narrow the others.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -126,15 +120,17 @@ class ExamFiles(DataSource):
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session, with the source known to it and filters pushed to Python sources."""
+    """The session, with the source known to it."""
     spark.dataSource.register(ExamFiles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
-def exam_files(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
-    """The files in a folder (ExamFiles). Filters by equal id, and by folder where nested, open these files alone."""
-    return registered(spark).read.format(NAME).option("nested", nested).load(path)
+def exam_files(spark: SparkSession, path: str, nested: bool = False, ids: Iterable[str] | None = None, folders: Iterable[str] | None = None) -> DataFrame:
+    """The files in a folder (ExamFiles); with ids, and folders where nested, these files alone are opened, and nothing is listed if it needn't be."""
+    reader = registered(spark).read.format(NAME).option("nested", nested)
+    for name, wanted in (("ids", ids), ("folders", folders)):
+        reader = reader if wanted is None else reader.option(name, json.dumps(sorted(wanted)))
+    return reader.load(path)
 
 
 def write_files(rows: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -20,8 +20,11 @@ def _micros(seconds: float) -> int:
     return round(seconds * 1_000_000)
 
 
-def _done(saves: DataFrame) -> Column:
-    return F.coalesce("done", F.lit(False)) if "done" in saves.columns else F.lit(False)
+def _whole(saves: DataFrame) -> DataFrame:
+    """The saves that have a user, a paper and a moment (a time with or without zone), the latter in microseconds too (at)."""
+    done = F.coalesce("done", F.lit(False)) if "done" in saves.columns else F.lit(False)
+    rows = saves.where("paper_id is not null and user_id is not null and saved_at is not null and save_id is not null").withColumn("saved_at", F.col("saved_at").cast("timestamp"))
+    return rows.select("paper_id", "user_id", "saved_at", F.unix_micros("saved_at").alias("at"), F.col("save_id").cast("long").alias("save_id"), F.col("answers").cast("string").alias("answers"), done.alias("done"))
 
 
 def settled_saves(saves: DataFrame, quiet: float = QUIET) -> DataFrame:
@@ -29,10 +32,9 @@ def settled_saves(saves: DataFrame, quiet: float = QUIET) -> DataFrame:
 
     Of saves made at one moment the last by save_id counts. Repeated rows count once; rows without a moment, user or paper are left out. Handing in keeps nothing: the answers came with the attempt.
     """
-    rows = saves.where("paper_id is not null and user_id is not null and saved_at is not null and save_id is not null").withColumn("done", _done(saves))
-    rows = rows.dropDuplicates(["paper_id", "user_id", "saved_at", "save_id"])
-    follows = F.lead(F.unix_micros("saved_at")).over(Window.partitionBy("paper_id", "user_id").orderBy("saved_at", "save_id"))
-    alone = F.coalesce(follows - F.unix_micros("saved_at") >= _micros(quiet), F.lit(True))
+    rows = _whole(saves).dropDuplicates(["paper_id", "user_id", "at", "save_id"])
+    follows = F.lead("at").over(Window.partitionBy("paper_id", "user_id").orderBy("at", "save_id"))
+    alone = F.coalesce(follows - F.col("at") >= _micros(quiet), F.lit(True))
     return rows.withColumn("alone", alone).where("alone and not done").select("paper_id", "user_id", "saved_at", "save_id", "answers")
 
 
@@ -80,8 +82,7 @@ def settling_saves(saves: DataFrame, quiet: float = QUIET, late: str = "1 minute
     Saves later than `late` behind the latest are dropped, and so are replays of saves that have been judged; the state of a user and paper holds what isn't judged yet and nothing else. Needs STATE_STORE.
     """
     kinds = dict(saves.dtypes)
-    rows = saves.where("paper_id is not null and user_id is not null and saved_at is not null and save_id is not null").withColumn("done", _done(saves)).withWatermark("saved_at", late)
-    rows = rows.select("paper_id", "user_id", "saved_at", F.unix_micros("saved_at").alias("at"), F.col("save_id").cast("long").alias("save_id"), F.col("answers").cast("string").alias("answers"), "done")
+    rows = _whole(saves).withWatermark("saved_at", late)
     schema = f"paper_id {kinds['paper_id']}, user_id {kinds['user_id']}, at long, save_id long, answers string"
     out = rows.groupBy("paper_id", "user_id").transformWithStateInPandas(_Settling(_micros(quiet)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return out.select("paper_id", "user_id", F.timestamp_micros("at").alias("saved_at"), "save_id", "answers")
