@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import crops as C
 from ..operators import keeping as K
 from ..operators import lifecycle as L
 from ..operators import spans as S
@@ -53,6 +54,22 @@ def crop_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.crop_plan(placed, pages)
 
 
+def stacked_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each crop as they are stacked; every seventh question was cut again by hand, in two pieces that overlap, touch or lie apart."""
+    plan = crop_plan(spark, sf_dir).withColumn("to_page", F.col("to_page") + (F.col("seq") % 6 == 0).cast("int"))
+    pages = _placed(spark, sf_dir).select("paper_id", "page").distinct().withColumn("height", F.when(F.col("page") == 2, 1000.0))
+    pieces = C.crop_pieces(plan, pages)
+    again = plan.where("(seq + paper_id) % 7 = 0 and file like 'q%'")
+    manual = again.withColumn("y1", F.col("y0") + 20).unionByName(again.withColumn("y0", F.col("y0") + F.col("seq") % 3 * 20).withColumn("y1", F.col("y0") + 15 * F.lit(2)))
+    return C.stacked(C.recropped(pieces, manual))
+
+
+def assigned_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures by the questions and materials that they lie in."""
+    found = C.assigned_pictures(_placed(spark, sf_dir), _items(spark, sf_dir).withColumnRenamed("text", "ref"))
+    return found.groupBy("paper_id", "seq", "part").agg(F.count("*").alias("n"), F.min_by("ref", F.struct("page", "y", "ref")).alias("first_ref"), F.max("y").alias("lowest"))
+
+
 def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.question_texts(_items(spark, sf_dir), _placed(spark, sf_dir))
 
@@ -224,15 +241,27 @@ def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.clipboard(answer_summary(Q(spark, sf_dir), latest_answers(B.answers(spark, sf_dir)), B.marks(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (kept_papers, mixed_answers, span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
+QUERIES = {f.__name__: f for f in (stacked_crops, assigned_pictures, kept_papers, mixed_answers, span_ends, crop_plan, question_texts, question_pictures, checked_pictures, carried_over, spliced, requested_keys, merged_questions, list_edits, picture_switches, confirmed, edited, picture_options, next_lines, unit_changes, text_forms, merged_cells, stored_papers, latest_drafts, submissions, clipboard)}
 
 _NAME = "printf('%s_%03d_%s_%d.png', {}, seq, CASE WHEN unit = '' THEN 'u' ELSE unit END, no)"
 _OWN = """own AS (SELECT p.paper_id, p.seq, i.page, i.y, i.pos, i.text FROM ends p JOIN items i ON i.paper_id = p.paper_id AND (i.page, i.y) >= (p.page, p.y0) AND (p.next_page IS NULL OR (i.page, i.y) < (p.next_page, p.next_y)))"""
+_CROPS = f"""SELECT paper_id, seq, {_NAME.format("'q'")} AS file, CAST(page AS INTEGER) AS page, CAST(y0 AS DOUBLE) AS y0, CAST(stop_page AS INTEGER) AS to_page, CAST(CASE WHEN stop_page = page THEN least(stop, 744.0) ELSE stop END AS DOUBLE) AS y1 FROM ends
+    UNION ALL SELECT paper_id, seq, {_NAME.format("'m'")}, CAST(page AS INTEGER), CAST(y0 - 30 AS DOUBLE), CAST(page AS INTEGER), CAST(y0 AS DOUBLE) FROM ends WHERE owns"""
 _BRACKET = "regexp_matches(stem, '[（(]\\s*[)）]\\s*[。.]?\\s*$')"
 ORACLE_SQL = {
     "span_ends": f"WITH {_PLACED} SELECT paper_id, seq, CAST(page AS INTEGER) AS page, CAST(CASE WHEN stop_page = page THEN stop ELSE 1000000 END AS DOUBLE) AS stop_y, CAST(CASE WHEN stop_page <> page THEN stop END AS DOUBLE) AS over_y FROM ends",
-    "crop_plan": f"""WITH {_PLACED} SELECT paper_id, seq, {_NAME.format("'q'")} AS file, CAST(page AS INTEGER) AS page, CAST(y0 AS DOUBLE) AS y0, CAST(stop_page AS INTEGER) AS to_page, CAST(CASE WHEN stop_page = page THEN least(stop, 744.0) ELSE stop END AS DOUBLE) AS y1 FROM ends
-        UNION ALL SELECT paper_id, seq, {_NAME.format("'m'")}, CAST(page AS INTEGER), CAST(y0 - 30 AS DOUBLE), CAST(page AS INTEGER), CAST(y0 AS DOUBLE) FROM ends WHERE owns""",
+    "crop_plan": f"WITH {_PLACED} {_CROPS}",
+    "stacked_crops": f"""WITH {_PLACED}, plan AS (SELECT * REPLACE (to_page + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END AS to_page) FROM ({_CROPS})), hand AS (SELECT * FROM plan WHERE (seq + paper_id) % 7 = 0 AND file LIKE 'q%'),
+        p AS (SELECT paper_id, seq, file, k AS page, CASE WHEN k = page THEN y0 ELSE 0 END AS y0, CASE WHEN k = to_page THEN y1 WHEN k = 2 AND EXISTS (SELECT 1 FROM placed x WHERE x.paper_id = plan.paper_id AND x.page = 2) THEN 930.0 ELSE 744.0 END AS y1
+            FROM plan, LATERAL unnest(generate_series(CAST(page AS BIGINT), CAST(to_page AS BIGINT))) AS u(k) WHERE (paper_id, file) NOT IN (SELECT paper_id, file FROM hand)),
+        h AS (SELECT paper_id, seq, file, page, y0, seq % 3 * 20 AS gap FROM hand),
+        m AS (SELECT paper_id, seq, file, page, y0, CASE WHEN gap <= 20 THEN y0 + gap + 30 ELSE y0 + 20 END AS y1, 1 AS piece FROM h UNION ALL SELECT paper_id, seq, file, page, y0 + gap, y0 + gap + 30, 2 FROM h WHERE gap > 20),
+        a AS (SELECT paper_id, seq, file, page, y0, y1, row_number() OVER (PARTITION BY paper_id, file ORDER BY page) AS piece FROM p WHERE y1 > y0 UNION ALL SELECT * FROM m)
+        SELECT paper_id, seq, file, CAST(piece AS INTEGER) AS piece, CAST(page AS INTEGER) AS page, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1,
+            CAST(coalesce(sum(y1 - y0) OVER (PARTITION BY paper_id, file ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS at FROM a""",
+    "assigned_pictures": f"""WITH {_PLACED}{_ITEMS}, {_OWN}, f AS (SELECT paper_id, seq, 'question' AS part, page, y, text FROM own
+            UNION ALL SELECT p.paper_id, p.seq, 'material', i.page, i.y, i.text FROM ends p JOIN items i ON i.paper_id = p.paper_id AND p.owns AND i.page = p.page AND i.y >= p.y0 - 30 AND i.y < p.y0)
+        SELECT paper_id, seq, part, count(*) AS n, arg_min(text, (page, y, text)) AS first_ref, CAST(max(y) AS DOUBLE) AS lowest FROM f GROUP BY 1, 2, 3""",
     "question_texts": f"""WITH {_PLACED}{_ITEMS}, {_OWN}, material AS (SELECT p.paper_id, p.seq, i.page, i.y, i.pos, i.text FROM ends p JOIN items i ON i.paper_id = p.paper_id AND p.owns AND i.page = p.page AND i.y >= p.y0 - 30 AND i.y < p.y0),
         found AS (SELECT paper_id, seq, string_agg(text, chr(10) ORDER BY page, y, pos) AS found FROM (SELECT * FROM own UNION ALL SELECT * FROM material) GROUP BY 1, 2)
         SELECT paper_id, seq, coalesce(found, no || '. ' || stem || array_to_string(list_transform(options, lambda o, i: chr(10) || chr(CAST(64 + i AS INTEGER)) || '. ' || o), '')) AS text FROM placed LEFT JOIN found USING (paper_id, seq)""",
