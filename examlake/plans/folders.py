@@ -67,10 +67,11 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each file, with the texts of its lines."""
-    files = _files(spark, sf_dir)
-    lines = M.imported_lines(files)
+    path = scratch(spark)
+    _files(spark, sf_dir).write.parquet(f"{path}/files")  # as they would lie in a folder, made once
+    results, lines = M.imported(spark.read.parquet(f"{path}/files"), path)
     texts = lines.where("text <> ''").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "/").alias("texts"))
-    results = M.import_results(M.manifest(files), lines).join(texts, "paper_id", "left")
+    results = results.join(texts, "paper_id", "left")
     shown = F.regexp_replace("error", r"^damaged file: .*", "damaged file")
     return results.select("path", F.regexp_extract("paper_id", "^(.*)-[0-9a-f]{16}$", 1).alias("name"), "kind", "n_lines", "texts", shown.alias("error"))
 

@@ -5,8 +5,6 @@ Text, Word files, page layers and recognised boxes (both as JSON: {"pages", "spa
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -97,12 +95,19 @@ def folder(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return reader.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
-def import_arriving(files: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Starts a query over a stream of files (folder): each batch's results and lines go to sink(results, lines, batch). The checkpoint names the files that are done,
-    so each is imported once; a batch that was broken off comes again under its number and with the same paper_ids."""
+def imported(files: DataFrame, path: str, batch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """import_results() and imported_lines() of files, written to tables below path as one batch (in place of what was written under its number) and read back: files are read for the lines and
+    for the manifest and not again."""
+    spark = files.sparkSession
+    tables = {name: f"{path.rstrip('/')}/{name}/batch={batch}" for name in ("lines", "manifest", "results")}
+    imported_lines(files).write.mode("overwrite").parquet(tables["lines"])
+    manifest(files).write.mode("overwrite").parquet(tables["manifest"])
+    lines = spark.read.parquet(tables["lines"])
+    import_results(spark.read.parquet(tables["manifest"]), lines).write.mode("overwrite").parquet(tables["results"])
+    return spark.read.parquet(tables["results"]), lines
 
-    def each(batch: DataFrame, number: int) -> None:
-        lines = imported_lines(batch)
-        sink(import_results(manifest(batch), lines), lines, number)
 
-    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def import_arriving(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query over a stream of files (folder): each batch is imported() to the tables below path, which are partitioned by batch. The checkpoint names the files that are done,
+    so each is imported once; a batch that was broken off comes again under its number and is written again in its place."""
+    return files.writeStream.foreachBatch(lambda batch, number: imported(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

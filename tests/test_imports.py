@@ -56,13 +56,13 @@ def test_no_files_and_files_without_content(spark):
 
 
 def test_arriving_files_are_imported_once(spark, tmp_path):
-    seen = []
-    sink = lambda results, lines, number: seen.extend((r.path.rpartition("/")[2], r.n_lines, r.error, number) for r in results.collect())
-    run = lambda: M.import_arriving(M.folder(spark, f"file://{tmp_path}/in", stream=True), sink, f"file://{tmp_path}/checkpoint").awaitTermination()
+    run = lambda: M.import_arriving(M.folder(spark, f"file://{tmp_path}/in", stream=True), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
     put(tmp_path, "in/a.txt", TEXT)
     put(tmp_path, "in/b.pdf", "%PDF")
     run()
     put(tmp_path, "in/below/c.txt", "1. 甲？")
     run()
     run()
+    seen = [(r.path.rpartition("/")[2], r.n_lines, r.error, r.batch) for r in spark.read.parquet(f"file://{tmp_path}/out/results").collect()]
     assert sorted(seen) == [("a.txt", 6, None, 0), ("b.pdf", 0, "files of this kind are not read: pdf", 0), ("c.txt", 1, None, 1)]
+    assert spark.read.parquet(f"file://{tmp_path}/out/lines").groupBy("batch").count().orderBy("batch").collect() == [(0, 6), (1, 1)]
