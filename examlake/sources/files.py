@@ -102,7 +102,7 @@ class ExamFiles(DataSource):
     """folder, id, json, error: a row for each file; damaged ones have an error in place of their text.
 
     Options: nested (files lie in one folder a paper), ids and folders (JSON lists: the only ones that are looked at). Keys are options and not filters
-    that Spark pushes down, as Spark 4.1 keeps one reader for all places of a plan in which a DataFrame stands, so a filter in one would narrow the others.
+    that Spark pushes down: with those, a DataFrame that stood in several places of a plan gave rows that one place's filter should have left out (4.1.2).
     """
 
     @classmethod
