@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spans import ABOVE_FOOTER, USUAL_HEIGHT, located, material_items
+from .spans import ABOVE_FOOTER, USUAL_HEIGHT, beside, located, material_items
 
 _PIECE = ("paper_id", "seq", "file", "page", "y0", "y1")
 
@@ -14,7 +14,8 @@ _PIECE = ("paper_id", "seq", "file", "page", "y0", "y1")
 def crop_pieces(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """paper_id, seq, file, page, y0, y1: the pieces of a crop_plan(), one a page: the rest of the first page, whole pages between, the top of the last. pages: paper_id, page, height. Pieces without height are left out."""
     bottoms = pages.select("paper_id", "page", (F.coalesce("height", F.lit(USUAL_HEIGHT)) * ABOVE_FOOTER).alias("bottom"))
-    each = plan.withColumn("first", F.col("page")).withColumn("page", F.explode(F.sequence("page", F.greatest("page", "to_page")))).join(bottoms, ["paper_id", "page"], "left")
+    each = plan.withColumn("first", F.col("page")).withColumn("page", F.explode(F.sequence("page", F.greatest("page", "to_page"))))
+    each = beside(each, bottoms, ["paper_id", "page"], bottom=F.max("_other.bottom"))
     top = F.when(F.col("page") == F.col("first"), F.col("y0")).otherwise(0.0)
     stop = F.when(F.col("page") == F.greatest("first", "to_page"), F.col("y1")).otherwise(F.coalesce("bottom", F.lit(USUAL_HEIGHT * ABOVE_FOOTER)))
     return each.select("paper_id", "seq", "file", "page", top.alias("y0"), stop.alias("y1")).where("y1 > y0")
@@ -22,7 +23,8 @@ def crop_pieces(plan: DataFrame, pages: DataFrame) -> DataFrame:
 
 def recropped(pieces: DataFrame, manual: DataFrame) -> DataFrame:
     """pieces with those that were cut by hand (manual: the same columns) in place of all that their file had."""
-    return pieces.join(manual.select("paper_id", "file").distinct(), ["paper_id", "file"], "left_anti").select(*_PIECE).unionByName(manual.select(*_PIECE).where("y1 > y0"))
+    kept = beside(pieces, manual.select("paper_id", "file"), ["paper_id", "file"], _again=F.bool_or("_other._is")).where("_again is null")
+    return kept.select(*_PIECE).unionByName(manual.select(*_PIECE).where("y1 > y0"))
 
 
 def stacked(pieces: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +31,19 @@ def located(items: DataFrame, questions: DataFrame) -> DataFrame:
     return both.withColumn("seq", F.last("_seq", ignorenulls=True).over(order)).where("_item = 1").select(*names, "seq")
 
 
+def beside(rows: DataFrame, others: DataFrame, keys: Sequence[str], **found: Column) -> DataFrame:
+    """rows with columns `found`, aggregates over those others that have a row's keys, as `_other` with their further columns; where a key is null, or there are none, null.
+
+    A left join as one window over both tables: what already lies by its papers is not dealt out once more by all keys.
+    """
+    more = [c for c in others.columns if c not in keys]
+    theirs = others.select(*keys, F.struct(F.lit(True).alias("_is"), *more).alias("_other"))
+    both = rows.withColumn("_other", F.lit(None).cast(theirs.schema["_other"].dataType)).unionByName(theirs, allowMissingColumns=True)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    both = both.withColumns({name: F.when(known, column.over(Window.partitionBy(*keys))) for name, column in found.items()})
+    return both.where("_other is null").drop("_other")
+
+
 def question_pictures(questions: DataFrame, pictures: DataFrame) -> DataFrame:
     """paper_id, seq, n_pictures, first_ref of questions that have pictures (paper_id, page, y, ref) in their span."""
     inside = located(pictures, questions).where("seq is not null")
@@ -58,7 +75,7 @@ def crop_plan(questions: DataFrame, pages: DataFrame) -> DataFrame:
     questions as for span_ends, with unit, no, group, m_page, m_y0. A question that goes over the page has to_page after its page.
     """
     tall = pages.select("paper_id", "page", (F.coalesce("height", F.lit(USUAL_HEIGHT)) * ABOVE_FOOTER).alias("bottom"))
-    own = span_ends(questions).where("page > 0").join(tall, ["paper_id", "page"], "left")
+    own = beside(span_ends(questions).where("page > 0"), tall, ["paper_id", "page"], bottom=F.max("_other.bottom"))
     bottom = F.coalesce("bottom", F.lit(USUAL_HEIGHT * ABOVE_FOOTER))
     cut = own.select("paper_id", "seq", picture_name().alias("file"), "page", "y0", F.when(F.col("over_y").isNull(), F.col("page")).otherwise(F.col("page") + 1).alias("to_page"), F.coalesce("over_y", F.least("stop_y", bottom)).alias("y1"))
     before = questions.where("`group` is not null and m_page > 0 and struct(m_page, m_y0) < struct(page, y0)")
