@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .shared import drop_written, releasing, text_column, written
 
-#: The most labelled documents that the classifier learns from; of more, those with the smallest hashes of doc_id.
-TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
 #: Standard deviations by which a feature's probability is taken below its frequency, and the score without any feature.
 CAUTION, FLOOR = 3.0, 0.01
+#: A feature is one if its probability is above this; how often a task must have seen one to tell that it is frequent, and how many different tokens it counts at a time.
+LEAST, FREQUENT, DISTINCT = 0.25, 8, 400_000
 #: Steps of the score function.
 STEPS = 20
 #: The letters that signs resemble.
@@ -47,7 +47,7 @@ _EDGES = ".,;:?!|\"'`()[]{}<>#%&*~^-_=/\\"
 #: A word of letters with no other signs at its ends than those that resemble no letter.
 _EASY = re.compile(rf"[{re.escape(''.join(c for c in _EDGES if c not in LOOKALIKES))}]*([^\W\d_]+)[{re.escape(''.join(c for c in _EDGES if c not in LOOKALIKES))}]*")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]{1,2}){2,}\S(?!\S)")
-_CACHE, _KNOWN = 200_000, 20_000
+_CACHE = 200_000
 
 
 class Letters:
@@ -179,66 +179,98 @@ def features(word: str) -> list[str]:
     return ["=" + word, "^" + word[:4]] if len(word) > 4 else ["=" + word, "^" + word]
 
 
-def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: Counter = Counter()
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of the documents' plain words (feature false), and features that plain tokens alone show to be in n documents at least (true)."""
+    seen: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            out += Letters.of(Counter(w for t in tokens(text) if _PLAIN.fullmatch(w := t.strip(_EDGES))))
-    yield pa.RecordBatch.from_pydict({"gram": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
+            seen.update(tokens(text))
+            if len(seen) > DISTINCT:
+                yield _of_tokens(seen)
+                seen = Counter()
+    yield _of_tokens(seen)
 
 
-def _feature_counts(model: Letters):
+def _of_tokens(seen: Counter) -> pa.RecordBatch:
+    words, least = Counter(), {}
+    for token, n in seen.items():
+        word = token.strip(_EDGES)
+        if _PLAIN.fullmatch(word):
+            words[word] += n
+        if n >= FREQUENT and word == token and _plain(token):  # its one reading is itself
+            for feature in features(token):
+                least[feature] = max(least.get(feature, 0), n)
+    grams = Letters.of(words)
+    return pa.RecordBatch.from_pydict({"feature": pa.array([False] * len(grams) + [True] * len(least)), "key": pa.array([*grams, *least], pa.string()), "n": pa.array([*grams.values(), *least.values()], pa.int64())})
+
+
+def _feature_counts(letters: dict[str, int], wanted: dict[str, float] | None = None):
+    """In how many documents each feature is; wanted: of these alone, so tokens that can't have one needn't be decoded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, every = Counter(), Counter()
+        model, every = Model(letters, wanted or {}), Counter()
         known: dict[str, set[str]] = {}
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 found = set()
-                for t in tokens(text):
+                for t in tokens(text) - model.without:
                     if t not in known:
-                        if len(known) >= _KNOWN:
-                            known.clear()
-                        known[t] = {f for w in readings(t, model) for f in features(w)}
+                        got = {f for w in readings(t, model.letters) for f in features(w) if wanted is None or f in wanted} if wanted is None or model.possible(t) else set()
+                        cache = known if got else model.without
+                        if len(cache) >= _CACHE:
+                            cache.clear()
+                        if not got:
+                            model.without.add(t)
+                            continue
+                        known[t] = got
                     found |= known[t]
                 every.update(found)
-                if label:
-                    toxic.update(found)
-            if len(every) > 500_000:
-                yield _as_batch(toxic, every)
-                toxic, every = Counter(), Counter()
-        yield _as_batch(toxic, every)
+                if len(every) > 500_000:
+                    yield _as_batch(every)
+                    every = Counter()
+        yield _as_batch(every)
 
     return run
 
 
-def _as_batch(toxic: Counter, every: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"feature": pa.array(list(every), pa.string()), "toxic": pa.array([toxic[f] for f in every], pa.int64()), "n": pa.array(list(every.values()), pa.int64())})
+def _as_batch(every: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"feature": pa.array(list(every), pa.string()), "n": pa.array(list(every.values()), pa.int64())})
+
+
+def _cautious(toxic: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval; for a given number of toxic documents it falls with n."""
+    share, z2 = toxic / n, CAUTION**2
+    return (share + z2 / (2 * n) - CAUTION * F.sqrt((share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], dict[str, float], list[float]]:
-    """Trigram counts, feature probabilities and score steps from at most TRAINING_ROWS labelled documents of docs (doc_id, text).
+    """Trigram counts, feature probabilities and score steps from all labelled documents of docs (doc_id, text).
 
-    Rows of labels (doc_id, toxic) with nulls are left out; of several labels of a document, the highest counts. The bound on documents bounds
-    what comes to the driver: their trigrams, and the features of more than two toxic ones among them.
+    Rows of labels (doc_id, toxic) with nulls are left out; of several labels of a document, the highest counts. Features are counted in toxic documents first: what
+    frequent plain tokens show to be too common to have a probability above LEAST is not counted in the others. The model itself comes to the driver: trigrams of the scripts' letters,
+    and features that toxic documents have and others seldom have.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    train = docs.select("doc_id", text_column()).join(F.broadcast(chosen), "doc_id")  # TRAINING_ROWS bounds it
-    train = train.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")  # copies count once
+    texts = docs.select("doc_id", text_column()).withColumn("hash", F.xxhash64("text"))
+    # copies count once; which of them, is told by their hashes, so texts travel to their labels and no further
+    chosen = texts.select("doc_id", "hash").join(known, "doc_id").groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    train = texts.join(chosen.hint("merge"), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("text", "toxic")
     train = written(train, "train")
-    grams = train.select("text").mapInArrow(releasing(_letter_counts), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    letters = {r.gram: r.n for r in grams.collect()}
-    counts = train.mapInArrow(releasing(_feature_counts(Letters(letters))), "feature string, toxic long, n long")
-    seen = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("toxic > 2")
-    share, z2 = F.col("toxic") / F.col("n"), CAUTION**2
-    low = (share + z2 / (2 * F.col("n")) - CAUTION * F.sqrt((share * (1 - share) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-    odds = {r.feature: r.p for r in seen.select("feature", low.alias("p")).where("p > 0.25").collect()}
+    counts = written(train.select("text").mapInArrow(releasing(_token_counts), "feature boolean, key string, n long").groupBy("feature", "key").agg(F.sum("n").alias("n")), "counts")
+    letters = {r.key: r.n for r in counts.where("not feature").collect()}
+    features_in = lambda rows, wanted=None: rows.select("text").mapInArrow(releasing(_feature_counts(letters, wanted)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    toxic = written(features_in(train.where("toxic <> 0")).where("n > 2").withColumnRenamed("n", "toxic"), "toxic")
+    least = counts.where("feature").select(F.col("key").alias("feature"), F.col("n").alias("least"))
+    possible = toxic.join(least, "feature", "left").where(_cautious(F.col("toxic"), F.greatest("toxic", F.coalesce("least", F.lit(0)))) > LEAST)
+    wanted = {r.feature: float(r.toxic) for r in possible.collect()}
+    odds = {r.feature: r.p for r in features_in(train, wanted).join(toxic, "feature").select("feature", _cautious(F.col("toxic"), F.col("n")).alias("p")).where(F.col("p") > LEAST).collect()}
     steps = train.mapInArrow(releasing(_surest_counts(letters, odds)), "step int, toxic long").groupBy("step").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    toxic, n = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
+    in_step, n = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
     for r in steps.collect():
-        toxic[r.step], n[r.step] = r.toxic, r.n
-    drop_written(train)
-    return letters, odds, increasing(toxic, n)
+        in_step[r.step], n[r.step] = r.toxic, r.n
+    for table in (train, counts, toxic):
+        drop_written(table)
+    return letters, odds, increasing(in_step, n)
 
 
 class Model:
@@ -328,21 +360,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Documents with crc32(doc_id as text) mod 4 = 2 are held out: their labels aren't looked at. Null and empty texts score FLOOR at
     least, as do all texts where no labelled document is known. A null doc_id isn't held out. Repeated rows appear each time; other columns don't matter; an empty table gives no rows.
     """
-    letters, odds, steps = fitted(docs, labels.where(~held_out("doc_id")))
+    letters, odds, steps = fitted(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")))
     out = docs.select("doc_id", text_column()).mapInArrow(releasing(_scored(letters, odds, steps)), "doc_id long, score double, predicted int")
     return out.withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 
 def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with score and predicted beside its columns (which must not have these names); no text is shuffled."""
-    letters, odds, steps = fitted(docs, labels.where(~held_out("doc_id")))
+    letters, odds, steps = fitted(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(releasing(_scored(letters, odds, steps, texts=True)), f"{schema}, score double, predicted int")
 
 
 def restored_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and the restored form of each distinct token that is written otherwise, for a look at the decoding."""
-    letters, _, _ = fitted(docs, labels.where(~held_out("doc_id")))
+    letters, _, _ = fitted(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Letters(letters)
