@@ -22,6 +22,15 @@ def parts_for(of: DataFrame) -> int:
     return max(int(of.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-of.count() // ROWS_A_PART))
 
 
+#: Files that one task makes or reads: their tables are small, and what is done for each row is not.
+FILES_A_PART = 1000
+
+
+def for_files(rows: DataFrame) -> DataFrame:
+    """rows of a table with a file for each of them, dealt out: by its bytes alone, one task would make them all."""
+    return rows.repartition(max(1, -(-rows.count() // FILES_A_PART)))
+
+
 def by_paper(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
     """rows by their paper in parts_for(of) partitions; few rows stay in as many as adaptive execution finds."""
     parts = parts_for(of)

@@ -22,12 +22,13 @@ QUIET = 7200.0
 def paper_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paper for each customer, one in a file; damaged files and drafts among them. All papers that are found, how many files were damaged, and papers looked up by id."""
     question = lambda n: F.struct(F.lit("甲").alias("unit"), n.cast("int").alias("no"), F.col("c_mktsegment").alias("stem"), (n % 2 == 0).alias("reviewed"))
-    papers = B.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 5 + 1).cast("int")), question).alias("questions"))
+    papers = B.for_files(B.table(spark, sf_dir, "customer")).select("c_custkey", F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 5 + 1).cast("int")), question).alias("questions"))
     json = F.to_json(F.struct("id", "title", "questions"), {"pretty": "true"})
     rows = papers.select("c_custkey", "id", F.when(F.col("c_custkey") % 11 == 0, F.left(json, F.lit(30))).otherwise(json).alias("json"))
     path = scratch(spark)
     X.write_files(rows, path)
-    files = X.exam_files(spark, path)
+    X.exam_files(spark, path).write.parquet(f"{path}-read")  # each file is opened once, for papers and for damages
+    files = spark.read.parquet(f"{path}-read")
     listed = lambda what, found: X.papers_in(found).select(F.lit(what).alias("what"), "id", "title", F.size("questions").cast("long").alias("n"))
     wanted = [str(k) for k in range(5, 60, 5)]
     lost = X.damaged(files).select(F.lit("damaged").alias("what"), F.lit("").alias("id"), F.col("error").alias("title"), "n")
@@ -48,7 +49,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
             content = [word_file(name) for name in batch.column("c_name").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], names=["path", "content"])
 
-    rows = B.table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 8)
+    rows = B.for_files(B.table(spark, sf_dir, "customer")).withColumn("k", F.col("c_custkey") % 8)
     place = lambda ending: F.concat(F.lit("in/"), F.col("c_mktsegment"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(f".{ending}"))
     y, text = F.col("c_nationkey").cast("double"), lambda *parts: F.concat(*[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in parts])
     # the second row of boxes is lower where the nation's key is even: then a picture lies between them

@@ -106,7 +106,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
             files = [other[k // 7 % 4] if k % 7 == 0 else word_file(name) for k, name in zip(keys, batch.column("s_name").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"s{k}.docx" for k in keys]), pa.array(files, pa.binary())], names=["path", "content"])
 
-    return B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").mapInArrow(run, "path string, content binary")
+    return B.for_files(B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")).mapInArrow(run, "path string, content binary")
 
 
 def word_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

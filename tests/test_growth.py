@@ -9,6 +9,7 @@ from examlake.operators.rewriting import CHUNK, text_chunks
 from examlake.operators.segmentation import parsed_questions
 from examlake.operators.spans import beside
 from examlake.plans import bridges as B
+from examlake.plans import editing, layouts
 from examlake.sources.text import text_lines
 
 
@@ -78,3 +79,13 @@ def test_lines_are_judged_once_for_both_kinds_of_papers(plain):
     papers = plain.createDataFrame([(1, "1. q?\nA. a\nB. b"), (2, "材料：x\n2. q?\nA. a\nB. b")], "paper_id int, text string")
     made = plan(parsed_questions(text_lines(papers), parts=6))
     assert "ReusedExchange" in made and "hashpartitioning(paper_id" in made and ", 6)" in made
+
+
+def test_files_of_a_small_table_are_made_by_many_tasks(plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FILES_A_PART", 5)
+    plain.range(20).selectExpr("id as s_suppkey", "concat('s', id) as s_name").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert layouts.word_scan(plain, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_stored_papers_are_parsed_once(plain):
+    assert "from_json" not in plan(editing.stored_papers(plain, "/root/testdata/sf0.001"))
