@@ -28,16 +28,16 @@ def saved(store: Store, papers: DataFrame, table: str = "drafts") -> int:
 def confirmed(store: Store, ids: DataFrame) -> int:
     """Drafts (id) become papers, all questions reviewed and without issues, and are drafts no more; in one version. Ids without a draft are passed over."""
     def moved(version: int | None) -> dict[str, Change]:
-        drafts = store.table("drafts", version).join(ids.select("id"), "id", "left_semi")
+        drafts = store.table("drafts", version, having=ids.select("id"))
         papers = drafts.withColumn("questions", _questions(reviewed=F.lit(True), issues=F.array().cast("array<string>")))
-        return {"papers": Change(put=papers), "drafts": Change(remove=drafts.select("id"))}
+        return {"papers": Change(put=papers, placed=True), "drafts": Change(remove=ids.select("id"))}
 
     return store.changed(moved)
 
 
 def reopened(store: Store, ids: DataFrame) -> int:
     """Copies of papers (id) as drafts; the papers stay, a draft that was there is replaced."""
-    return store.changed(lambda version: {"drafts": Change(put=store.table("papers", version).join(ids.select("id"), "id", "left_semi"))})
+    return store.changed(lambda version: {"drafts": Change(put=store.table("papers", version, having=ids.select("id")), placed=True)})
 
 
 def deleted(store: Store, ids: DataFrame) -> int:

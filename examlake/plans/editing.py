@@ -197,8 +197,8 @@ def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers in a store: all saved as drafts, most confirmed, some of these opened again, some deleted with the attempts made at them."""
     question = F.struct(*[F.col(c) for c in ("unit", "no", "type", "stem", "options", "blanks", "image", "issues")])
-    drafts = Q(spark, sf_dir).withColumn("issues", F.when(F.col("seq") % 2 == 0, F.array(F.lit("i"))).otherwise(F.array().cast("array<string>"))).groupBy(F.col("paper_id").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", question.alias("q")))), lambda x: x["q"]).alias("questions"))
-    drafts = P.from_json(P.as_json(drafts))
+    drafts = Q(spark, sf_dir).withColumn("issues", F.when(F.col("seq") % 2 == 0, F.array(F.lit("i"))).otherwise(F.array().cast("array<string>"))).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", question.alias("q")))), lambda x: x["q"]).alias("questions"))
+    drafts = P.from_json(P.as_json(drafts.select(F.col("paper_id").cast("string").alias("id"), "questions")))
     attempts = B.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), (F.col("user_id") % 500).cast("string").alias("paper_id"))
     store = K.paper_store(spark, scratch(spark), buckets=16)
     number, ids = F.col("id").cast("long"), B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id")).distinct()

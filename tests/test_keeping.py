@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from examlake.operators import keeping as K
 from examlake.sources.papers import ATTEMPT, PAPER
-from examlake.sources.store import Change, Store
+from examlake.sources.store import Change, Kind, Store
 
 
 def papers(spark, *ids, title="t"):
@@ -89,3 +89,47 @@ def test_a_lookup_reads_one_bucket_and_a_change_keeps_the_others(spark, store):
     assert sum(before[b] != f for b, f in store.manifest()["drafts"].items()) == 1
     store.vacuum(kept=1)
     assert store.versions() == [2] and of(store.table("drafts")) == list("abcdefghij")
+
+
+def exchanged(node):
+    """The columns of each exchange in a plan."""
+    below = [node.children().apply(k) for k in range(node.children().size())]
+    own = [node.output().mkString(" ")] if node.nodeName() == "Exchange" else []
+    return own + [x for child in below for x in exchanged(child)]
+
+
+def test_changes_deal_out_keys_and_no_whole_rows(spark, store, monkeypatch):
+    K.saved(store, papers(spark, *"abcdefgh"))
+    real, seen = Store._written, []
+
+    def written(self, name, rows, *more, **options):
+        seen.extend(exchanged(rows._jdf.queryExecution().executedPlan()))
+        return real(self, name, rows, *more, **options)
+
+    monkeypatch.setattr(Store, "_written", written)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        K.confirmed(store, ids(spark, *"abcde"))
+        K.reopened(store, ids(spark, *"bc"))
+        K.deleted(store, ids(spark, *"ch"))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert seen and not [x for x in seen if "questions" in x]
+    assert of(store.table("papers")) == list("abde") and of(store.table("drafts")) == list("bfg")
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+
+
+def test_rows_are_told_apart_beyond_a_block_of_bits(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", {"t": Kind("id long, part long, v string", ("id",), "part")}, buckets=2)
+    rows = spark.range(70_000).select("id", F.when(F.col("id") % 5 > 0, 1).cast("long").alias("part"), F.lit("old").alias("v"))
+    store.change(t=Change(put=rows))
+    thirds = rows.where("id % 3 = 0")
+    assert {r.id for r in store.table("t", having=thirds.select("id")).collect()} == set(range(0, 70_000, 3))
+    store.change(t=Change(put=rows.where("id % 7 = 0").withColumn("v", F.lit("new")), remove=thirds.select("id")))
+    got = {r.id: r.v for r in store.table("t").collect()}
+    assert got == {k: "old" if k % 7 else "new" for k in range(70_000) if k % 3 or k % 7 == 0} and store.table("t").count() == len(got)
+    store.change(t=Change(remove=spark.range(1).select(F.lit(1).cast("long").alias("part"))))
+    assert {r.id % 5 for r in store.table("t").collect()} == {0}  # null meets no key, so its rows stay
