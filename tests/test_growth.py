@@ -3,13 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from examlake.functions import text as T
 from examlake.operators import crops as C
 from examlake.operators import lifecycle as L
 from examlake.operators.rewriting import CHUNK, text_chunks
 from examlake.operators.segmentation import parsed_questions
 from examlake.operators.spans import beside
 from examlake.plans import bridges as B
-from examlake.plans import editing, layouts
+from examlake.plans import catalog, editing, layouts
 from examlake.sources.text import text_lines
 
 
@@ -89,3 +90,24 @@ def test_files_of_a_small_table_are_made_by_many_tasks(plain, tmp_path, monkeypa
 
 def test_stored_papers_are_parsed_once(plain):
     assert "from_json" not in plan(editing.stored_papers(plain, "/root/testdata/sf0.001"))
+
+
+def test_lines_meet_no_pattern_that_looks_at_each_character_in_vain(plain):
+    made = plan(catalog.text_functions(plain, "/root/testdata/sf0.001"))
+    assert "多项选择|多选" not in made and made.count("(?U)^\\s+") == made.count("THEN regexp_replace(lambda") == 1
+
+
+def test_text_functions_on_odd_ends(spark):
+    texts = ["", " ", "a", " a", "a\u3000", "\u00a0a b\u2028", "a\n", "\n\r\na", "a\u200b", "\x1ca\x85", "中。 ", "中。", "é\u2e80\u2e81中𝒳", "𝒳 ", "b)\t\n", "c\ufeff", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    wide = F.length(F.regexp_replace("text", "[\\x{0}-\\x{2E80}]", ""))
+    last = F.right(T.stripped("text"), F.lit(1))
+    ends = F.when(F.col("text").isNotNull(), (last != "") & (F.instr(F.lit(T.SENTENCE_ENDS), last) > 0))
+    got = rows.select("k", T.seldom_stripped("text").eqNullSafe(T.stripped("text")).alias("same"), T.weighted_length("text").eqNullSafe(wide + (F.length("text") - wide) * 0.55).alias("wide"), T.ends_sentence("text").eqNullSafe(ends).alias("ends"))
+    assert [r.k for r in got.collect() if not (r.same and r.wide and r.ends)] == []
+
+
+def test_each_line_break_counts_once(spark):
+    texts = {"a\r\nb": 2, "a\r\r\nb": 3, "a\n\rb": 3, "\r\n": 2, "\r\n\r\n\n": 4, "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i": 9, "a\x1f\tb": 1, "": 1}
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.split_lines("text").alias("lines")).collect()
+    assert {r.text: len(r.lines) for r in got} == texts and all("\r" not in x and "\n" not in x for r in got for x in r.lines)
