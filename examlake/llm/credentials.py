@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from string import ascii_letters, digits, hexdigits
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +30,22 @@ def _assigned(words: str, value: str, begin: str = "()") -> str:
 
 
 _OWN_WORD = "(^|[^A-Za-z0-9])"
+#: Words to which a value is assigned.
+_WORDS = {
+    "assign": "password passwd secret token api_?key",
+    "name": "username user_id userid user login account client_id access_?key_?id",
+    "phrase": "passphrase passcode pass pwd private_?key access_?key credential auth",
+    "place": "hostname host server endpoint database bucket url",
+}
 #: Kinds in the order of their spans, each with role, pattern (group 1: what lies before the span, group 2: the value), and the least length of the value. The first three are findings by themselves.
 KINDS = {
-    "assign": ("secret", _assigned("password passwd secret token api_?key", "A-Za-z0-9+/_.=-"), 6),
+    "assign": ("secret", _assigned(_WORDS["assign"], "A-Za-z0-9+/_.=-"), 6),
     "access": ("identifier", "()(AKIA[A-Z0-9]{16,})", 20),
     "hex": ("secret", "()([0-9a-f]{24,})", 24),
-    "name": ("identifier", _assigned("username user_id userid user login account client_id access_?key_?id", "A-Za-z0-9+/_.@=-", _OWN_WORD), 3),
-    "phrase": ("secret", _assigned("passphrase passcode pass pwd private_?key access_?key credential auth", "A-Za-z0-9+/_.=-", _OWN_WORD), 6),
+    "name": ("identifier", _assigned(_WORDS["name"], "A-Za-z0-9+/_.@=-", _OWN_WORD), 3),
+    "phrase": ("secret", _assigned(_WORDS["phrase"], "A-Za-z0-9+/_.=-", _OWN_WORD), 6),
     "opaque": ("secret", "()([A-Za-z0-9+/]{40,})", 40),
-    "place": ("endpoint", _assigned("hostname host server endpoint database bucket url", "A-Za-z0-9_./:@-", _OWN_WORD), 3),
+    "place": ("endpoint", _assigned(_WORDS["place"], "A-Za-z0-9_./:@-", _OWN_WORD), 3),
     "link": ("endpoint", rf"""{_OWN_WORD}([A-Za-z][A-Za-z0-9+.-]{{0,15}}://[^\x00-\x20"'<>]+)""", 6),
 }
 STRONG = ("assign", "access", "hex")
@@ -46,19 +54,29 @@ BREAK = r"()(\n[\x20\t\r]*\n[\x20\t\r\n]*)"
 _NAMES = list(KINDS)
 
 
-def _places(text: Column, kind: int, pattern: str) -> Column:
-    """All matches as (kind, gap since the match before, size, lead, value length), in order; what lies between matches gives their places."""
-    sizes = [F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length) for g in (0, 1, 2)]
+def _may_hold(text: Column, name: str) -> Column:
+    """Whether a text can have matches of a kind: false only if it has none, and much less work than its pattern, which tries all words at each character."""
+    if name in _WORDS:
+        # from the sign back: a word, with up to eight spaces between, or more spaces than that
+        return text.rlike(rf"""[:=](?<=(?:{_either_case(_WORDS[name])})["']?\x20{{0,8}}[:=]|\x20{{9}}[:=])""")
+    # each sign by itself: the regex engine looks one up in a table, but tries ranges one after the other
+    return {"access": text.contains("AKIA"), "hex": text.rlike(f"[{hexdigits[:16]}]{{24}}"), "opaque": text.rlike(f"[{ascii_letters}{digits}+/]{{40}}"), "link": text.contains("://")}[name]
+
+
+def _places(text: Column, kind: int, pattern: str, when: Column) -> Column:
+    """All matches as (kind, gap since the match before, size, lead, value length), in order; what lies between matches gives their places. None where not `when`."""
+    # no pattern looks beyond its match, so groups are found again in the matches, without another pass over the text
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.length(m).alias("size"), *[F.length(F.regexp_extract(m, pattern, g)).alias(n) for g, n in ((1, "lead"), (2, "value"))]))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.transform(F.arrays_zip(*[x.alias(n) for x, n in zip([*sizes, F.slice(gaps, 1, F.size(sizes[0]))], ("size", "lead", "value", "gap"), strict=True)]), lambda x: F.struct(F.lit(kind).alias("kind"), x["gap"], x["size"], x["lead"], x["value"]))
-    return F.when(text.rlike(pattern), zipped).otherwise(F.expr("cast(array() as array<struct<kind: int, gap: int, size: int, lead: int, value: int>>)"))
+    zipped = F.zip_with(sizes, F.slice(gaps, 1, F.size(gaps) - 1), lambda x, gap: F.struct(F.lit(kind).alias("kind"), gap.alias("gap"), x["size"], x["lead"], x["value"]))
+    return F.when(when, zipped).otherwise(F.expr("cast(array() as array<struct<kind: int, gap: int, size: int, lead: int, value: int>>)"))
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     """One pass over the texts: row, doc_id, n_chars, found. Blank lines are looked for only beside parts that depend on others."""
-    every = docs.select("doc_id", text_column()).select("doc_id", "text", F.length("text").alias("n_chars"), *[_places(F.col("text"), k, KINDS[name][1]).alias(name) for k, name in enumerate(_NAMES)])
+    every = docs.select("doc_id", text_column()).select("doc_id", "text", F.length("text").alias("n_chars"), *[_places(F.col("text"), k, KINDS[name][1], _may_hold(F.col("text"), name)).alias(name) for k, name in enumerate(_NAMES)])
     weak = reduce(or_, [F.size(name) > 0 for name in _NAMES if name not in STRONG])
-    breaks = F.when(weak, _places(F.col("text"), len(KINDS), BREAK)).otherwise(F.slice("assign", 1, 0))
+    breaks = _places(F.col("text"), len(KINDS), BREAK, weak)
     return written(every.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.concat(*_NAMES, breaks).alias("found")), "credential-parts")
 
 

@@ -222,3 +222,21 @@ def test_credentials_run_no_python(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
     assert credentials(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert credentials_module.BUCKET > 0 and F is not None
+
+
+def test_credentials_try_no_pattern_of_words_at_each_character(spark, monkeypatch):
+    monkeypatch.setattr(credentials_module, "written", lambda df, tag: df)
+    made = credentials_module._scanned(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in made and not [name for name, (_, pattern, _) in KINDS.items() if re.search(r"RLIKE\([^,]*, " + re.escape(pattern), made)]
+
+
+def test_texts_that_can_hold_a_kind_are_told(spark):
+    signs = ["Password  :x", "é" + "TOKEN" + " " * 8 + "= abcdef", "secret" + " " * 9 + "=abcdef", "api_key\"" + " " * 40 + ": 'abcdef", "\u212aey apiKEY'=abcdef", "𝒳user=abc 𝒳 login: bob", "pass\t=abcdef", "auth=", "a=b: c", "AKIA" + "B" * 16, "akia" + "b" * 30, "0a" * 12, "g0a" * 12, "+/" * 20, "é" + "x" * 39 + "é", "h://x", "h:/ /x", ": =", "", "url" + " " * 8 + "\"" + ":x", "x_pwd=hunter22 xpwd=hunter22"]
+    rows = spark.createDataFrame(list(enumerate(signs)), "k int, text string")
+    text = F.col("text")
+    for name, (_, pattern, _) in KINDS.items():
+        found = rows.select("k", text.rlike(pattern).alias("holds"), credentials_module._may_hold(text, name).alias("may")).collect()
+        assert [r.k for r in found if r.holds and not r.may] == [], name
+    test = [spans_by_brute_force(t) for t in signs]
+    got = {r.doc_id: r.spans for r in credentials(rows.select(F.col("k").cast("long").alias("doc_id"), "text")).collect()}
+    assert [got[k] for k in range(len(signs))] == [",".join(f"{name}:{a}:{b}" for a, _, b, name in spans) for spans in test]
