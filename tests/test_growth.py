@@ -111,3 +111,23 @@ def test_each_line_break_counts_once(spark):
     texts = {"a\r\nb": 2, "a\r\r\nb": 3, "a\n\rb": 3, "\r\n": 2, "\r\n\r\n\n": 4, "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i": 9, "a\x1f\tb": 1, "": 1}
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.split_lines("text").alias("lines")).collect()
     assert {r.text: len(r.lines) for r in got} == texts and all("\r" not in x and "\n" not in x for r in got for x in r.lines)
+
+
+def test_no_text_of_a_paper_goes_through_arrays_to_the_automaton(plain):
+    lines = text_lines(plain.createDataFrame([(1, "材料：x\n2. q?\nA. a\nB. b")], "paper_id int, text string"))
+    made = plan(parsed_questions(lines, parts=6))
+    fed = made[made.index("MapInArrow") :].split("\n")[1:4]
+    assert any("Window" in x for x in fed) and not any("Aggregate" in x for x in fed)
+
+
+def test_papers_are_read_whole_whatever_batches_they_come_in(spark):
+    text = "根据以下材料，回答 1～2 题。\n今年增长了。\n1. 甲？\nA. 一 B. 二\n2乙？\nA. 三\nB. 四\n4. 丙？\nA B C D\n1. 丁？\n答案：A"
+    papers = spark.createDataFrame([(k or None, text * (k % 4) + "\n1. 末？\nA. 五") for k in range(13)], "paper_id int, text string")
+    read = lambda: sorted(map(str, parsed_questions(text_lines(papers), parts=2).collect()))
+    want = read()
+    try:
+        for rows in ("1", "7", "30"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert read() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
